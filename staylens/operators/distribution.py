@@ -34,14 +34,22 @@ def equal_width_bins(df: DataFrame, col: str, n: int, out: str = "bin") -> DataF
     found = _range(df, col)
     lo, hi = found["lo"], found["hi"]
     margin = F.when(lo == 0, 0.001).otherwise(F.abs(lo) * 0.001)
-    lo, hi = (F.when(lo == hi, lo - margin).otherwise(lo), F.when(lo == hi, hi + margin).otherwise(hi))
-    step = (hi - lo) / n
-    edges = [F.lit(float(i)) * step + lo for i in range(1, n)]
-    value = number(df, col)
-    passed = F.size(F.filter(F.array(*edges), lambda e: F.col("_v") > e)) if edges else F.lit(0)
-    return df.withColumn("_v", value).withColumn(
-        out, F.when(F.col("_v").isNotNull(), passed + 1)
-    ).drop("_v")
+    low = F.when(lo == hi, lo - margin).otherwise(lo)
+    step = (F.when(lo == hi, hi + margin).otherwise(hi) - low) / n
+    edge = lambda i: i.cast("double") * step + low
+    v, g = number(df, col), F.col("_guess")
+    guess = F.least(F.greatest(F.ceil((v - low) / step) - 1, F.lit(0)), F.lit(n - 1)).cast("int")
+    # the quotient may round across an edge: the edges themselves decide
+    place = (
+        F.when((v <= edge(g)) & (g > 0), g - 1)
+        .when((v > edge(g + 1)) & (g < n - 1), g + 1)
+        .otherwise(g)
+    )
+    return (
+        df.withColumn("_guess", F.when(v.isNotNull(), guess))
+        .withColumn(out, F.when(g.isNotNull(), place + 1))
+        .drop("_guess")
+    )
 
 
 def mean_by_bin(df: DataFrame, col: str, value: str, n: int) -> DataFrame:
@@ -63,18 +71,18 @@ def histogram(df: DataFrame, cols: str | Sequence[str], bins: int = 10) -> DataF
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
     require_columns(df, cols)
-    bounds = df.agg(
-        *[
-            F.struct(F.min(number(df, c)).alias("lo"), F.max(number(df, c)).alias("hi")).alias(c)
-            for c in cols
-        ]
-    ).unpivot([], [column(c) for c in cols], "column", "r")
-    lo, hi = F.col("r.lo"), F.col("r.hi")
-    bounds = bounds.select(
+    ranges = [F.min(number(df, c)).alias(f"lo_{i}") for i, c in enumerate(cols)]
+    ranges += [F.max(number(df, c)).alias(f"hi_{i}") for i, c in enumerate(cols)]
+    entries = [
+        F.struct(F.lit(c).alias("column"), F.col(f"lo_{i}").alias("lo"), F.col(f"hi_{i}").alias("hi"))
+        for i, c in enumerate(cols)
+    ]
+    lo, hi = F.col("lo"), F.col("hi")
+    bounds = df.agg(*ranges).select(F.inline(F.array(*entries))).where(lo.isNotNull()).select(
         "column",
         F.when(lo == hi, lo - 0.5).otherwise(lo).alias("lo"),
         F.when(lo == hi, hi + 0.5).otherwise(hi).alias("hi"),
-    ).where(F.col("lo").isNotNull()).withColumn("w", (F.col("hi") - F.col("lo")) / bins)
+    ).withColumn("w", (hi - lo) / bins)
     v, low, width = F.col("v"), F.col("lo"), F.col("w")
     guess = F.least(F.floor((v - low) / width), F.lit(bins - 1)).cast("int")
     edge = lambda i: i.cast("double") * width + low

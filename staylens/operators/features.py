@@ -24,7 +24,8 @@ ROWS_PER_FOLD_WINDOW = 1_000_000
 MIN_FOLD_SALTS = 32
 
 
-def _check_levels(df: DataFrame, cols: Sequence[str]) -> None:
+def check_levels(df: DataFrame, cols: Sequence[str]) -> None:
+    """Refuse columns whose levels would not fit the driver."""
     found = df.agg(*[F.approx_count_distinct(column(c)).alias(c) for c in cols]).first()
     for c in cols:
         if found[c] > MAX_LEVELS:
@@ -47,7 +48,7 @@ def one_hot_encoder(cols: Sequence[str]) -> Pipeline:
 def one_hot(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, PipelineModel]:
     """Adds ``<col>_code`` and ``<col>_vec`` to each row itself; returns the model too."""
     require_columns(df, cols)
-    _check_levels(df, cols)
+    check_levels(df, cols)
     model = one_hot_encoder(cols).fit(df)
     return model.transform(df), model
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -23,6 +24,7 @@ from staylens.functions.scalars import column
 from staylens.operators.checks import require_columns
 from staylens.operators.evaluate import accuracy
 from staylens.operators.features import (
+    check_levels,
     hash_split,
     one_hot_encoder,
     standardize,
@@ -45,7 +47,7 @@ BOOSTED_FINAL = 10
 
 @dataclass(frozen=True)
 class ModelData:
-    """Encoded rows (key, label_index, features), stored for repeated fitting."""
+    """Encoded rows (key, label_index, features; weight in train), cached for refitting."""
 
     train: DataFrame
     test: DataFrame
@@ -89,17 +91,29 @@ def prepare(
     if numeric:
         rows = standardize(rows, numeric, fit_on=fit_rows)
     stages = [StringIndexer(inputCol="_label", outputCol=LABEL, stringOrderType="alphabetAsc", handleInvalid="skip")]
+    check_levels(fit_rows, ["_label", *categorical])
     if categorical:
         stages.append(one_hot_encoder(categorical))
     inputs = [*numeric, *[f"{c}_vec" for c in categorical]]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES))
     encoder = Pipeline(stages=stages).fit(fit_rows)
     encoded = encoder.transform(rows).select(column(key), LABEL, FEATURES, "_split")
-    train, held_out = (
-        encoded.where(F.col("_split") == part).drop("_split").persist(StorageLevel.MEMORY_AND_DISK)
-        for part in ("train", "test")
+    train, held_out = (encoded.where(F.col("_split") == part).drop("_split") for part in ("train", "test"))
+    return ModelData(
+        with_class_weights(train, LABEL, key, WEIGHT).persist(StorageLevel.MEMORY_AND_DISK),
+        held_out.persist(StorageLevel.MEMORY_AND_DISK),
+        key,
+        list(encoder.stages[0].labels),
+        encoder,
     )
-    return ModelData(train, held_out, key, list(encoder.stages[0].labels), encoder)
+
+
+def _each(spark, work: Callable, items: Sequence, parallelism: int) -> list:
+    """Run ``work`` per item; up to ``parallelism`` fits share the cluster."""
+    if parallelism <= 1:
+        return [work(item) for item in items]
+    with ThreadPool(min(parallelism, len(items))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), items)
 
 
 @dataclass(frozen=True)
@@ -112,7 +126,8 @@ class OneVsRestTrees:
         kept = df.columns
         margins = []
         for i, model in enumerate(self.models):
-            df = model.setRawPredictionCol("_raw").setProbabilityCol("").setPredictionCol("").transform(df)
+            margin = model.copy({model.rawPredictionCol: "_raw", model.probabilityCol: "", model.predictionCol: ""})
+            df = margin.transform(df)
             df = df.withColumn(f"_margin_{i}", vector_to_array("_raw")[1]).drop("_raw")
             margins.append(F.col(f"_margin_{i}"))
         best = F.array_position(F.array(*margins), F.greatest(*margins)) - 1
@@ -124,12 +139,12 @@ class TreeFamily:
     """How one family of trees is fitted at a given depth."""
 
     name: str
-    fit: Callable[[DataFrame, int, int, str], object]  # rows, depth, classes, key
+    fit: Callable[[DataFrame, int, int], object]  # rows, depth, number of classes
     balanced: bool = True
 
 
 def forest(num_trees: int = 100, seed: int = 42, balanced: bool = True) -> TreeFamily:
-    def fit(rows: DataFrame, depth: int, classes: int, key: str):
+    def fit(rows: DataFrame, depth: int, classes: int):
         use_checkpoint_dir(rows.sparkSession)
         estimator = RandomForestClassifier(
             featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, impurity="entropy",
@@ -141,7 +156,7 @@ def forest(num_trees: int = 100, seed: int = 42, balanced: bool = True) -> TreeF
 
 
 def tree(seed: int = 42, balanced: bool = True) -> TreeFamily:
-    def fit(rows: DataFrame, depth: int, classes: int, key: str):
+    def fit(rows: DataFrame, depth: int, classes: int):
         use_checkpoint_dir(rows.sparkSession)
         estimator = DecisionTreeClassifier(
             featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, impurity="entropy",
@@ -152,20 +167,20 @@ def tree(seed: int = 42, balanced: bool = True) -> TreeFamily:
     return TreeFamily("decision_tree", fit, balanced)
 
 
-def boosted(rounds: int = 100, step: float = 0.3, seed: int = 42) -> TreeFamily:
+def boosted(rounds: int = 100, step: float = 0.3, seed: int = 42, parallelism: int = 1) -> TreeFamily:
     """Spark's boosted trees are binary, so each class gets a model of its own."""
 
-    def fit(rows: DataFrame, depth: int, classes: int, key: str):
+    def fit(rows: DataFrame, depth: int, classes: int):
         use_checkpoint_dir(rows.sparkSession)
-        models = []
-        for c in range(classes):
+
+        def one_class(c: int) -> GBTClassificationModel:
             estimator = GBTClassifier(
                 featuresCol=FEATURES, labelCol="_is_class", maxDepth=depth, maxIter=rounds,
                 stepSize=step, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024,
             )
-            one = rows.withColumn("_is_class", (F.col(LABEL) == c).cast("double"))
-            models.append(estimator.fit(one))
-        return OneVsRestTrees(models)
+            return estimator.fit(rows.withColumn("_is_class", (F.col(LABEL) == c).cast("double")))
+
+        return OneVsRestTrees(_each(rows.sparkSession, one_class, range(classes), parallelism))
 
     return TreeFamily("boosted_trees", fit, balanced=False)
 
@@ -174,12 +189,9 @@ def _weighted(estimator, balanced: bool):
     return estimator.setWeightCol(WEIGHT) if balanced else estimator
 
 
-def fit_depth(data: ModelData, family: TreeFamily, depth: int, rows: DataFrame | None = None):
-    """Fit one depth on the training rows (or on ``rows``, a part of them)."""
-    rows = data.train if rows is None else rows
-    if family.balanced:
-        rows = with_class_weights(rows, LABEL, data.key, WEIGHT)
-    return family.fit(rows, depth, len(data.classes), data.key)
+def fit_depth(data: ModelData, family: TreeFamily, depth: int):
+    """Fit one depth on the training rows."""
+    return family.fit(data.train, depth, len(data.classes))
 
 
 def usable_depths(depths: Iterable[int]) -> list[tuple[int, str]]:
@@ -198,51 +210,84 @@ def _accuracy(model, rows: DataFrame) -> float:
     return accuracy(model.transform(rows), LABEL, PREDICTION).first()["accuracy"]
 
 
-def depth_sweep(data: ModelData, family: TreeFamily, depths: Iterable[int]) -> DataFrame:
-    """(model, depth, train_accuracy, test_accuracy, fit_seconds, note), one per depth.
+def depth_sweep(
+    data: ModelData, family: TreeFamily, depths: Iterable[int], parallelism: int = 1
+) -> DataFrame:
+    """(model, depth, train_accuracy, test_accuracy, fit_seconds, note), one per depth."""
 
-    Rows are prepared (and class weights joined) once for all depths.
-    """
-    rows = data.train
-    if family.balanced:
-        rows = with_class_weights(rows, LABEL, data.key, WEIGHT).persist(StorageLevel.MEMORY_AND_DISK)
-    results = []
-    for depth, note in usable_depths(depths):
+    def one_depth(item: tuple[int, str]):
+        depth, note = item
         start = time.perf_counter()
-        model = family.fit(rows, depth, len(data.classes), data.key)
+        model = fit_depth(data, family, depth)
         train, test = _accuracy(model, data.train), _accuracy(model, data.test)
-        results.append((family.name, depth, train, test, time.perf_counter() - start, note))
-    if family.balanced:
-        rows.unpersist()
-    return data.train.sparkSession.createDataFrame(
-        results,
+        return family.name, depth, train, test, time.perf_counter() - start, note
+
+    spark = data.train.sparkSession
+    return spark.createDataFrame(
+        _each(spark, one_depth, usable_depths(depths), parallelism),
         "model string, depth int, train_accuracy double, test_accuracy double, "
         "fit_seconds double, note string",
     )
 
 
+def _fold_weights(dealt: DataFrame, folds: int) -> DataFrame:
+    """(held_out, label_index, weight): balanced weights of the rows outside each fold.
+
+    One aggregate; the driver sees one count per fold and class.
+    """
+    counts = dealt.groupBy(FOLD, LABEL).agg(F.count(F.lit(1)).alias("n")).collect()
+    weights = []
+    for held_out in range(folds):
+        outside: dict[float, int] = {}
+        for row in counts:
+            if row[FOLD] != held_out:
+                outside[row[LABEL]] = outside.get(row[LABEL], 0) + row["n"]
+        rows = sum(outside.values())
+        weights += [(held_out, label, rows / (len(outside) * n)) for label, n in outside.items()]
+    return dealt.sparkSession.createDataFrame(
+        weights, f"held_out int, {LABEL} double, {WEIGHT} double"
+    )
+
+
 def cv_scores(
-    data: ModelData, family: TreeFamily, depths: Iterable[int], folds: int = 5, seed: int = 42
+    data: ModelData,
+    family: TreeFamily,
+    depths: Iterable[int],
+    folds: int = 5,
+    seed: int = 42,
+    parallelism: int = 1,
 ) -> DataFrame:
-    """(model, depth, mean_accuracy, seconds, note) over stratified folds of the training rows."""
-    dealt = stratified_folds(data.train, data.key, LABEL, folds, seed, out=FOLD)
+    """(model, depth, mean_accuracy, seconds, note) over stratified folds of the training rows.
+
+    ``seconds`` is the sum over the folds.
+    """
+    spark = data.train.sparkSession
+    dealt = stratified_folds(data.train.drop(WEIGHT), data.key, LABEL, folds, seed, out=FOLD)
     dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
+    weights = _fold_weights(dealt, folds) if family.balanced else None
     parts = []
     for fold in range(folds):
         rows = dealt.where(F.col(FOLD) != fold)
-        if family.balanced:  # weights of the rows that are fitted, not of all
-            rows = with_class_weights(rows, LABEL, data.key, WEIGHT)
+        if weights is not None:
+            rows = rows.join(F.broadcast(weights.where(F.col("held_out") == fold)), LABEL).drop("held_out")
         parts.append((rows, dealt.where(F.col(FOLD) == fold)))
-    results = []
-    for depth, note in usable_depths(depths):
+
+    def one_fit(item: tuple[int, int]):
+        depth, fold = item
         start = time.perf_counter()
-        scores = [
-            _accuracy(family.fit(rows, depth, len(data.classes), data.key), held_out)
-            for rows, held_out in parts
-        ]
-        results.append((family.name, depth, sum(scores) / folds, time.perf_counter() - start, note))
+        rows, held_out = parts[fold]
+        score = _accuracy(family.fit(rows, depth, len(data.classes)), held_out)
+        return depth, score, time.perf_counter() - start
+
+    usable = usable_depths(depths)
+    fits = _each(spark, one_fit, [(d, f) for d, _ in usable for f in range(folds)], parallelism)
+    results = []
+    for depth, note in usable:
+        mine = [(score, seconds) for d, score, seconds in fits if d == depth]
+        mean = sum(score for score, _ in mine) / folds
+        results.append((family.name, depth, mean, sum(seconds for _, seconds in mine), note))
     dealt.unpersist()
-    return data.train.sparkSession.createDataFrame(
+    return spark.createDataFrame(
         results, "model string, depth int, mean_accuracy double, seconds double, note string"
     )
 
@@ -267,10 +312,15 @@ def predict(data: ModelData, model, rows: DataFrame | None = None) -> DataFrame:
 
 
 def grid_search(
-    data: ModelData, family: TreeFamily, depths: Iterable[int], folds: int = 5, seed: int = 42
+    data: ModelData,
+    family: TreeFamily,
+    depths: Iterable[int],
+    folds: int = 5,
+    seed: int = 42,
+    parallelism: int = 1,
 ) -> GridSearch:
     """Best mean accuracy over the folds (ties: the smaller depth), refitted on all training rows."""
-    scores = cv_scores(data, family, depths, folds, seed)
+    scores = cv_scores(data, family, depths, folds, seed, parallelism)
     best = min(scores.collect(), key=lambda r: (-r["mean_accuracy"], r["depth"]))["depth"]
     model = fit_depth(data, family, best)
     return GridSearch(scores, best, model, predict(data, model))

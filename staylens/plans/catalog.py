@@ -964,39 +964,43 @@ def _model_data(spark: SparkSession, d: str) -> models.ModelData:
     )
 
 
+_FITS = 4  # fits that run side by side
+
+
 @query("rf_depth_sweep")
 def rf_depth_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return models.depth_sweep(_model_data(spark, d), models.forest(num_trees=10), [3, 8])
+    return models.depth_sweep(_model_data(spark, d), models.forest(num_trees=10), [3, 8], _FITS)
 
 
 @query("dt_depth_sweep")
 def dt_depth_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return models.depth_sweep(_model_data(spark, d), models.tree(), [3, 8, 35, 40])
+    return models.depth_sweep(_model_data(spark, d), models.tree(), [3, 8, 35, 40], _FITS)
 
 
 @query("rf_grid_search")
 def rf_grid_search(spark: SparkSession, d: str) -> DataFrame:
-    return models.grid_search(_model_data(spark, d), models.forest(num_trees=5), [3, 6], folds=5).scores
+    data = _model_data(spark, d)
+    return models.grid_search(data, models.forest(num_trees=5), [3, 6], parallelism=_FITS).scores
 
 
 @query("dt_grid_search")
 def dt_grid_search(spark: SparkSession, d: str) -> DataFrame:
-    search = models.grid_search(_model_data(spark, d), models.tree(), [2, 5], folds=5)
+    search = models.grid_search(_model_data(spark, d), models.tree(), [2, 5], parallelism=_FITS)
     return evaluate.classification_report(search.predictions, "label", "predicted")
 
 
 @query("gbt_depth_sweep")
 def gbt_depth_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return models.depth_sweep(_model_data(spark, d), models.boosted(rounds=3), [1, 3])
+    return models.depth_sweep(_model_data(spark, d), models.boosted(rounds=3), [1, 3], _FITS)
 
 
 @query("gbt_cv_scores")
 def gbt_cv_scores(spark: SparkSession, d: str) -> DataFrame:
-    return models.cv_scores(_model_data(spark, d), models.boosted(rounds=2), [2], folds=5)
+    return models.cv_scores(_model_data(spark, d), models.boosted(rounds=2), [2], parallelism=_FITS)
 
 
 @query("gbt_final")
 def gbt_final(spark: SparkSession, d: str) -> DataFrame:
     data = _model_data(spark, d)
-    model = models.fit_depth(data, models.boosted(rounds=3), 4)
+    model = models.fit_depth(data, models.boosted(rounds=3, parallelism=_FITS), 4)
     return evaluate.confusion_matrix(models.predict(data, model), "label", "predicted")

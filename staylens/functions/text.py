@@ -9,13 +9,10 @@ from pyspark.sql import functions as F
 
 from staylens.functions.scalars import column
 
-# The white space that separates words (Unicode white space), written
-# so that Java and RE2 expressions read it alike.
-SPACE = (
-    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# White space that separates words: Unicode white space and the four separators.
+SPACE = r"\s\x1c-\x1f"
 LETTERS = "a-zA-Z"
+UNICODE = "(?U)"
 
 # The common English stop words.
 ENGLISH_STOP_WORDS = (
@@ -42,26 +39,33 @@ def strip_non_letters(text: str | Column, strip_limit: int | None = None) -> Col
     """
     text = F.coalesce(column(text), F.lit(""))
     other = f"[^{LETTERS}{SPACE}]"
-    stripped = F.regexp_replace(text, other, "")
+    stripped = F.regexp_replace(text, f"{UNICODE}{other}+", "")
     if strip_limit is None:
         return stripped
-    split = f"(?s)^((?:[{LETTERS}{SPACE}]*+{other}){{{strip_limit}}})(.*)$"
+    split = f"{UNICODE}(?s)^((?:[{LETTERS}{SPACE}]*+{other}){{{strip_limit}}})(.*)$"
     head, tail = F.regexp_extract(text, split, 1), F.regexp_extract(text, split, 2)
-    return F.when(head == "", stripped).otherwise(F.concat(F.regexp_replace(head, other, ""), tail))
+    cleaned = F.regexp_replace(head, f"{UNICODE}{other}+", "")
+    return F.when(head == "", stripped).otherwise(F.concat(cleaned, tail))
 
 
-def tokenize(text: str | Column) -> Column:
-    """Words between white space; no text gives an empty array."""
-    words = F.split(F.coalesce(column(text), F.lit("")), f"[{SPACE}]+")
-    return F.filter(words, lambda w: w != "")
+def tokenize(text: str | Column, drop: Sequence[str] = ()) -> Column:
+    """Words between white space, without those in ``drop``; no text, no words.
+
+    Order and repeats stay; the test per word is one look-up in a hash set.
+    """
+    words = F.split(F.coalesce(column(text), F.lit("")), f"{UNICODE}[{SPACE}]+")
+    dropped = sorted({"", *drop})
+    return F.filter(words, lambda w: ~w.isin(dropped))
 
 
-def letter_tokens(text: str | Column, strip_limit: int | None = None) -> Column:
-    return tokenize(F.lower(strip_non_letters(text, strip_limit)))
+def letter_tokens(
+    text: str | Column, strip_limit: int | None = None, drop: Sequence[str] = ()
+) -> Column:
+    return tokenize(F.lower(strip_non_letters(text, strip_limit)), drop)
 
 
 def remove_stopwords(tokens: str | Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> Column:
-    """Drop stop words, keeping order and repeats (a hash-set test per token)."""
+    """Drop stop words from an array of tokens, keeping order and repeats."""
     words = sorted(set(stop_words))
     if not words:
         return column(tokens)

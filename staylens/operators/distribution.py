@@ -11,19 +11,13 @@ from pyspark.sql import functions as F
 from staylens.functions.scalars import column, present
 from staylens.operators.checks import require_columns
 from staylens.operators.profile import is_float
-from staylens.operators.quantiles import present_values, quantiles
+from staylens.operators.quantiles import quantiles
 from staylens.operators.stats import number
 from staylens.runtime import join_sized, materialize_sized
 
 WHISKER = 1.5
 
 
-def _range(df: DataFrame, col: str) -> Column:
-    """struct(lo, hi) of the finite range of a column, as a scalar subquery."""
-    value = number(df, col)
-    return df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("r")).scalar()
-
-
 def equal_width_bins(df: DataFrame, col: str, n: int, out: str = "bin") -> DataFrame:
     """Adds the number (1..n) of the right-closed bin of equal width over min..max.
 
@@ -31,24 +25,27 @@ def equal_width_bins(df: DataFrame, col: str, n: int, out: str = "bin") -> DataF
     spread 0.1 percent around it, so its rows are in the middle bin.
     """
     require_columns(df, [col])
-    found = _range(df, col)
-    lo, hi = found["lo"], found["hi"]
-    margin = F.when(lo == 0, 0.001).otherwise(F.abs(lo) * 0.001)
-    low = F.when(lo == hi, lo - margin).otherwise(lo)
-    step = (F.when(lo == hi, hi + margin).otherwise(hi) - low) / n
-    edge = lambda i: i.cast("double") * step + low
-    v, g = number(df, col), F.col("_guess")
+    value, lo, hi = number(df, col), F.col("lo"), F.col("hi")
+    margin = F.when(lo == hi, F.when(lo == 0, 0.001).otherwise(F.abs(lo) * 0.001)).otherwise(0.0)
+    grid = (
+        df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+        .select((lo - margin).alias("low"), ((hi + margin - (lo - margin)) / n).alias("step"))
+        .select(F.struct("low", "step").alias("grid"))
+        .scalar()
+    )
+    low, step, v, g = F.col("_grid.low"), F.col("_grid.step"), F.col("_value"), F.col("_guess")
     guess = F.least(F.greatest(F.ceil((v - low) / step) - 1, F.lit(0)), F.lit(n - 1)).cast("int")
     # the quotient may round across an edge: the edges themselves decide
     place = (
-        F.when((v <= edge(g)) & (g > 0), g - 1)
-        .when((v > edge(g + 1)) & (g < n - 1), g + 1)
-        .otherwise(g)
+        F.when((v <= g * step + low) & (g > 0), g)
+        .when((v > (g + 1) * step + low) & (g < n - 1), g + 2)
+        .otherwise(g + 1)
     )
     return (
-        df.withColumn("_guess", F.when(v.isNotNull(), guess))
-        .withColumn(out, F.when(g.isNotNull(), place + 1))
-        .drop("_guess")
+        df.withColumns({"_value": value, "_grid": grid})
+        .withColumn("_guess", guess)
+        .withColumn(out, F.when(v.isNotNull(), place).cast("int"))
+        .drop("_value", "_grid", "_guess")
     )
 
 
@@ -73,38 +70,57 @@ def histogram(df: DataFrame, cols: str | Sequence[str], bins: int = 10) -> DataF
     require_columns(df, cols)
     ranges = [F.min(number(df, c)).alias(f"lo_{i}") for i, c in enumerate(cols)]
     ranges += [F.max(number(df, c)).alias(f"hi_{i}") for i, c in enumerate(cols)]
-    entries = [
-        F.struct(F.lit(c).alias("column"), F.col(f"lo_{i}").alias("lo"), F.col(f"hi_{i}").alias("hi"))
-        for i, c in enumerate(cols)
-    ]
-    lo, hi = F.col("lo"), F.col("hi")
-    bounds = df.agg(*ranges).select(F.inline(F.array(*entries))).where(lo.isNotNull()).select(
-        "column",
-        F.when(lo == hi, lo - 0.5).otherwise(lo).alias("lo"),
-        F.when(lo == hi, hi + 0.5).otherwise(hi).alias("hi"),
-    ).withColumn("w", (hi - lo) / bins)
-    v, low, width = F.col("v"), F.col("lo"), F.col("w")
-    guess = F.least(F.floor((v - low) / width), F.lit(bins - 1)).cast("int")
-    edge = lambda i: i.cast("double") * width + low
-    # the quotient may round across an edge: the edges themselves decide
-    place = (
-        F.when(v < edge(F.col("g")), F.col("g") - 1)
-        .when((v >= edge(F.col("g") + 1)) & (F.col("g") < bins - 1), F.col("g") + 1)
-        .otherwise(F.col("g"))
-    )
-    # bounds: one row per requested column
+    spread = []
+    for i, c in enumerate(cols):
+        lo, hi = F.col(f"lo_{i}"), F.col(f"hi_{i}")
+        spread.append(
+            F.struct(
+                F.lit(c).alias("column"),
+                F.when(lo == hi, lo - 0.5).otherwise(lo).alias("lo"),
+                F.when(lo == hi, hi + 0.5).otherwise(hi).alias("hi"),
+            ).alias(f"r_{i}")
+        )
+    bounds = df.agg(*ranges).select(*spread)
+
+    def edge(i: Column, low: Column, high: Column) -> Column:
+        return i.cast("double") * ((high - low) / bins) + low
+
+    guesses, places = {}, {}
+    for i, c in enumerate(cols):
+        v, g = F.col(f"_value_{i}"), F.col(f"_guess_{i}")
+        low, high = F.col(f"_s.r_{i}.lo"), F.col(f"_s.r_{i}.hi")
+        guesses[f"_guess_{i}"] = F.least(
+            F.floor((v - low) / ((high - low) / bins)), F.lit(bins - 1)
+        ).cast("int")
+        # the quotient may round across an edge: the edges themselves decide
+        places[c] = (
+            F.when(v < edge(g, low, high), g)
+            .when((v >= edge(g + 1, low, high)) & (g < bins - 1), g + 2)
+            .otherwise(g + 1)
+        )
     counted = (
-        present_values(df, cols)
-        .join(F.broadcast(bounds), "column")
-        .withColumn("g", guess)
-        .groupBy("column", (place + 1).alias("bin"))
+        df.select(
+            *[number(df, c).alias(f"_value_{i}") for i, c in enumerate(cols)],
+            bounds.select(F.struct(*bounds.columns).alias("s")).scalar().alias("_s"),
+        )
+        .withColumns(guesses)
+        .select(*[place.alias(c) for c, place in places.items()])
+        .unpivot([], [column(c) for c in cols], "column", "bin")
+        .where(F.col("bin").isNotNull())
+        .groupBy("column", "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    every = bounds.select("*", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")).select(
-        "column", "bin",
-        edge(F.col("bin") - 1).alias("lower"),
-        F.when(F.col("bin") == bins, F.col("hi")).otherwise(edge(F.col("bin"))).alias("upper"),
+    lo, hi, b = F.col("lo"), F.col("hi"), F.col("bin")
+    every = (
+        bounds.select(F.inline(F.array(*bounds.columns)))
+        .where(lo.isNotNull())
+        .select("*", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+        .select(
+            "column", "bin", edge(b - 1, lo, hi).alias("lower"),
+            F.when(b == bins, hi).otherwise(edge(b, lo, hi)).alias("upper"),
+        )
     )
+    # counted has at most bins rows per requested column
     return every.join(F.broadcast(counted), ["column", "bin"], "left").select(
         "column", "bin", "lower", "upper", F.coalesce("n", F.lit(0)).cast("long").alias("n")
     )
@@ -162,10 +178,13 @@ def box_outliers(df: DataFrame, key: str, value: str, accuracy: int | None = Non
 
 
 def _pearson(a: Column, b: Column) -> Column:
-    """Correlation over the rows that have both values; NULL when one is constant."""
-    both = a.isNotNull() & b.isNotNull()
-    a, b = F.when(both, a), F.when(both, b)
-    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+    """Correlation over the rows that have both values; NULL when one is constant.
+
+    The three sums skip incomplete pairs themselves and are merged from partial sums
+    of squared deviations. (``corr`` would divide by zero on a constant column.)
+    """
+    spread = F.sqrt(F.regr_sxx(a, b)) * F.sqrt(F.regr_syy(a, b))
+    return F.try_divide(F.regr_sxy(a, b), spread)
 
 
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -190,11 +209,11 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             results.append(F.when(spread > 0, 1.0).alias(f"r{i}"))
         else:
             results.append(_pearson(column(a), column(b)).alias(f"r{i}"))
-    entries = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            entries.append(F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"r{i}").alias("r")))
-    return numbers.agg(*results).select(F.inline(F.array(*entries)))
+    names = [(f"r{i}", x, y) for i, (a, b) in enumerate(pairs) for x, y in {(a, b), (b, a)}]
+    labels = df.sparkSession.createDataFrame(names, "pair string, a string, b string")
+    found = numbers.agg(*results).unpivot([], [f"r{i}" for i in range(len(pairs))], "pair", "r")
+    # found has one row per pair of the columns asked for
+    return labels.join(F.broadcast(found), "pair").select("a", "b", "r")
 
 
 def strong_correlates(

@@ -133,9 +133,9 @@ def standardize(
     ).scalar()
     scaled = {}
     for i, c in enumerate(cols):
-        mean, sd, x = stats[f"mean_{i}"], stats[f"sd_{i}"], number(df, c)
+        mean, sd, x = F.col(f"_stats.mean_{i}"), F.col(f"_stats.sd_{i}"), number(df, c)
         scaled[c] = F.when((sd == 0) & x.isNotNull(), 0.0).otherwise(F.try_divide(x - mean, sd))
-    return df.withColumns(scaled)
+    return df.withColumn("_stats", stats).withColumns(scaled).drop("_stats")
 
 
 def hash_split(

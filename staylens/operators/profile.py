@@ -102,7 +102,7 @@ def describe(
     source = df.na.drop("any", subset=list(by)) if by else df
     values = [F.col(f"`{c}`").cast("double").alias(c) for c in cols]
     long = source.select(*keys, *values).unpivot(keys, [F.col(f"`{c}`") for c in cols], "column", "v")
-    value = F.when(~F.isnan("v"), F.col("v"))
+    value = F.nanvl("v", F.lit(None).cast("double"))
     stats = long.groupBy(*by, "column").agg(
         F.count(value).alias("count"),
         F.avg(value).alias("mean"),

@@ -16,7 +16,7 @@ from staylens.operators.quantiles import quantiles, thresholds
 def number(df: DataFrame, name: str) -> Column:
     """The column as double, with NaN read as missing."""
     value = column(name).cast("double")
-    return F.when(~F.isnan(value), value) if is_float(df, name) else value
+    return F.nanvl(value, F.lit(None).cast("double")) if is_float(df, name) else value
 
 
 def _keyed(df: DataFrame, key: str) -> DataFrame:
@@ -158,7 +158,6 @@ def subset_profile(
     """
     require_columns(df, [distinct, *categories, *measures])
     rows = df.where(predicate)
-    single = {"rows": F.count(F.lit(1)), "distinct": F.count_distinct(column(distinct))}
     aggregates = [F.count(F.lit(1)).cast("double").alias("rows")]
     aggregates.append(F.count_distinct(column(distinct)).cast("double").alias("distinct"))
     aggregates += [F.avg(number(df, c)).alias(f"mean_{i}") for i, c in enumerate(measures)]

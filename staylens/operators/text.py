@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.functions.scalars import column
-from staylens.functions.text import ENGLISH_STOP_WORDS, letter_tokens, remove_stopwords, tokenize
+from staylens.functions.text import ENGLISH_STOP_WORDS, letter_tokens
 from staylens.operators.checks import require_columns
 from staylens.runtime import join_sized, measure
 
@@ -40,10 +40,14 @@ def lemma_lookup(
 
     ``lemmas`` is (token, lemma); a token without a lemma stays. ``key`` identifies
     a row, so what is put back together is one text.
+
+    The texts are partitioned by key before they are exploded: the regrouping then
+    needs no further shuffle, and what moves is text instead of numbered words.
     """
     require_columns(df, [key, tokens])
     table = lemmas.groupBy("token").agg(F.min("lemma").alias("lemma"))
-    exploded = df.select(column(key).alias("_key"), F.posexplode_outer(column(tokens)).alias("pos", "token"))
+    arrays = df.select(column(key).alias("_key"), column(tokens).alias("_tokens")).repartition("_key")
+    exploded = arrays.select("_key", F.posexplode_outer("_tokens").alias("pos", "token"))
     looked_up = join_sized(exploded, measure(table), ["token"], "left", ["_key", "pos"])
     word = F.struct("pos", F.coalesce("lemma", "token").alias("word"))
     words = F.collect_list(F.when(F.col("token").isNotNull(), word))
@@ -103,7 +107,7 @@ def normalize_text(
     (key, <out>), to be joined where it is needed.
     """
     require_columns(df, [text])
-    words = remove_stopwords(letter_tokens(text, strip_limit), stop_words)
+    words = letter_tokens(text, strip_limit, stop_words)
     if lemmas is None:
         return df.withColumn(out, F.array_join(words, " "))
     if key is None:
@@ -111,7 +115,3 @@ def normalize_text(
     require_columns(df, [key])
     return lemma_lookup(df.select(column(key), words.alias("_words")), key, "_words", lemmas, out)
 
-
-def words_of(text: str):
-    """Tokens of already normalised text."""
-    return tokenize(text)

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from staylens.functions.scalars import NUMBER
-from staylens.functions.text import ENGLISH_STOP_WORDS, LETTERS, SPACE
+from staylens.functions.text import ENGLISH_STOP_WORDS, LETTERS, strip_non_letters
 from staylens.operators import clean, distribution, evaluate, features, models, profile, stats
 from staylens.operators import sentiment as mood
 from staylens.operators import text as words
 from staylens.operators.quantiles import quantiles
 from staylens.plans.comments import score_comments
+from staylens.runtime import spread_small
 from staylens.sources.reviews import preview
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comments; reading words is costly per row, so a small table is spread."""
+    return spread_small(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles to so many digits (adding zero turns -0.0 into 0.0)."""
     kinds = {f.name: isinstance(f.dataType, T.DoubleType) for f in df.schema.fields}
@@ -639,6 +645,11 @@ def scatter_sample(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------ text and sentiment
 
+# The white space of the text functions, spelled out for RE2.
+SPACE = (
+    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
 _STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS)
 _TOKENS_SQL = (
     f"list_filter(string_split_regex(lower(regexp_replace(text, '[^{LETTERS}{SPACE}]', '', 'g')), '[{SPACE}]+'), "
@@ -649,7 +660,7 @@ _KEPT_SQL = f"list_filter({_TOKENS_SQL}, lambda w: w not in ({_STOP_SQL}))"
 
 @query("text_normalize", f"select doc_id, array_to_string({_KEPT_SQL}, ' ') as processed_comments from documents")
 def text_normalize(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = documents(spark, d).select("doc_id", "text")
     return words.normalize_text(docs, "text").select("doc_id", "processed_comments")
 
 
@@ -661,15 +672,12 @@ def text_normalize(spark: SparkSession, d: str) -> DataFrame:
       from documents)""",
 )
 def text_strip_limit(spark: SparkSession, d: str) -> DataFrame:
-    from staylens.functions.text import strip_non_letters
-
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", strip_non_letters("text", 258).alias("stripped"))
+    return documents(spark, d).select("doc_id", strip_non_letters("text", 258).alias("stripped"))
 
 
 @query("token_counts", f"select token, count(*) as n from (select unnest({_TOKENS_SQL}) as token from documents) group by 1")
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
-    return words.token_counts(table(spark, d, "documents"), "text")
+    return words.token_counts(documents(spark, d), "text")
 
 
 _LEMMA_SQL = _values(LEMMAS, "token, lemma", "varchar")
@@ -683,7 +691,7 @@ _LEMMA_SQL = _values(LEMMAS, "token, lemma", "varchar")
 )
 def lemma_lookup(spark: SparkSession, d: str) -> DataFrame:
     lemmas = _pairs(spark, LEMMAS, "token string, lemma string")
-    return words.normalize_text(table(spark, d, "documents"), "text", lemmas=lemmas, key="doc_id")
+    return words.normalize_text(documents(spark, d), "text", lemmas=lemmas, key="doc_id")
 
 
 def _noun_forms_sql() -> str:
@@ -704,7 +712,7 @@ def _noun_forms_sql() -> str:
     select token, lemma from best where rn = 1 and lemma <> token""",
 )
 def noun_lemmas(spark: SparkSession, d: str) -> DataFrame:
-    vocabulary = words.token_counts(table(spark, d, "documents"), "text").select("token")
+    vocabulary = words.token_counts(documents(spark, d), "text").select("token")
     return words.noun_lemmas(vocabulary, vocabulary)
 
 
@@ -720,7 +728,7 @@ def _lexicon(spark: SparkSession) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return score_comments(table(spark, d, "documents"), "doc_id", "text", _lexicon(spark), ["lang", "source"])
+    return score_comments(documents(spark, d), "doc_id", "text", _lexicon(spark), ["lang", "source"])
 
 
 @query("sentiment_score", f"select doc_id, round(sentiment_score, 6) as sentiment_score from {_SCORES_SQL}")
@@ -742,7 +750,7 @@ def sentiment_score(spark: SparkSession, d: str) -> DataFrame:
 def sentiment_score_modified(spark: SparkSession, d: str) -> DataFrame:
     multipliers = _pairs(spark, MULTIPLIERS, "token string, multiplier double")
     scored = score_comments(
-        table(spark, d, "documents"), "doc_id", "text", _lexicon(spark), modifiers=multipliers
+        documents(spark, d), "doc_id", "text", _lexicon(spark), modifiers=multipliers
     )
     return rounded(scored.select("doc_id", "sentiment_score"), 6)
 

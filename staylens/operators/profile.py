@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from staylens.functions.scalars import grouping_key, present
 from staylens.operators.checks import require_columns
-from staylens.operators.quantiles import quantiles
+from staylens.operators.quantiles import group_names, long_values, named_groups, quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -98,28 +98,25 @@ def describe(
     Groups without a key are left out; missing values are not counted.
     """
     require_columns(df, [*cols, *by])
-    keys = [F.col(f"`{c}`") for c in by]
-    source = df.na.drop("any", subset=list(by)) if by else df
-    values = [F.col(f"`{c}`").cast("double").alias(c) for c in cols]
-    long = source.select(*keys, *values).unpivot(keys, [F.col(f"`{c}`") for c in cols], "column", "v")
-    value = F.nanvl("v", F.lit(None).cast("double"))
-    stats = long.groupBy(*by, "column").agg(
-        F.count(value).alias("count"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
+    keys = [*group_names(by), "column"]
+    stats = long_values(df, cols, by).groupBy(*keys).agg(
+        F.count("v").alias("count"),
+        F.avg("v").alias("mean"),
+        F.stddev_samp("v").alias("std"),
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
     )
     found = quantiles(df, cols, QUARTILES, by, accuracy)
-    quartiles = found.groupBy(*by, "column").agg(
+    quartiles = found.withColumnsRenamed(dict(zip(by, group_names(by)))).groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(name)
             for p, name in zip(QUARTILES, ("q25", "median", "q75"))
         ]
     )
-    return stats.join(quartiles, [*by, "column"], "left").select(
-        *by, "column", "count", "mean", "std", "min", "q25", "median", "q75", "max"
+    joined = stats.join(quartiles, keys, "left").select(
+        *keys, "count", "mean", "std", "min", "q25", "median", "q75", "max"
     )
+    return named_groups(joined, by)
 
 
 def describe_by(

@@ -33,13 +33,23 @@ BUCKETS_PER_EFOLD = 4096
 SLICES = 4096
 
 
-def present_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., column, v): the present values of ``cols``, one row each."""
-    keys = [F.col(f"`{c}`") for c in by]
+def group_names(by: Sequence[str]) -> list[str]:
+    """Internal names of group columns, which no working column can clash with."""
+    return [f"_by{i}" for i in range(len(by))]
+
+
+def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(_by..., column, v): one row per value, missing ones as NULL; rows without a
+    group are left out."""
+    keys = [F.col(f"`{c}`").alias(name) for c, name in zip(by, group_names(by))]
     source = df.na.drop("any", subset=list(by)) if by else df
     narrow = source.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
-    values = narrow.unpivot(keys, [F.col(f"`{c}`") for c in cols], "column", "v")
-    return values.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    long = narrow.unpivot(group_names(by), [F.col(f"`{c}`") for c in cols], "column", "v")
+    return long.withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+
+
+def named_groups(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed(dict(zip(group_names(by), by)))
 
 
 def _count(values: DataFrame, place: list[str]) -> DataFrame:
@@ -92,18 +102,15 @@ def _first_round(values: DataFrame, keys: list[str], probs: Sequence[float]) ->
 def _next_round(values: DataFrame, keys: list[str], pending: DataFrame, bounded: bool) -> DataFrame:
     """Divide the ranges of ``pending``; at most two ranges per probability and key."""
     pending = pending.drop("value").withColumnsRenamed({"low": "lo", "high": "hi"})
-    ranges = pending.groupBy(*keys).agg(
-        F.collect_set(F.struct("lo", "hi")).alias("ranges")
-    )
+    ranges = pending.select(*keys, "lo", "hi").distinct()
     if bounded:
         ranged = values.join(F.broadcast(ranges), keys)
     else:
         ranged = join_sized(values, measure(ranges), keys, "inner", ["v"])
-    inside = F.filter("ranges", lambda r: (F.col("v") >= r["lo"]) & (F.col("v") <= r["hi"]))
-    part = F.floor((F.col("v") - F.col("r.lo")) / (F.col("r.hi") - F.col("r.lo")) * SLICES)
-    sliced = ranged.select(*keys, "v", F.explode(inside).alias("r")).select(
-        *keys, "v", F.col("r.lo").alias("lo"), part.cast("long").alias("b")
-    )
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    # the ranges of a key do not overlap: a value is in one of them or in none
+    part = F.floor((v - lo) / (hi - lo) * SLICES).cast("long")
+    sliced = ranged.where((v >= lo) & (v <= hi)).select(*keys, "v", "lo", part.alias("b"))
     place = [*keys, "lo"]
     counts = _running(_count(sliced, place), place)
     asked = F.broadcast(pending) if bounded else pending
@@ -119,6 +126,31 @@ def _next_round(values: DataFrame, keys: list[str], pending: DataFrame, bounded:
     )
 
 
+def _search_table(values: DataFrame, keys: list[str], step: DataFrame) -> DataFrame:
+    """Rounds without group columns: at most 2 * columns * probabilities rows each."""
+    spark, schema, settled = values.sparkSession, step.schema, []
+    while True:
+        ranks = step.collect()
+        settled += [r for r in ranks if r["value"] is not None]
+        pending = [r for r in ranks if r["value"] is None]
+        if not pending:
+            return spark.createDataFrame(settled, schema)
+        step = _next_round(values, keys, spark.createDataFrame(pending, schema), True)
+
+
+def _search_groups(values: DataFrame, keys: list[str], step: DataFrame) -> DataFrame:
+    """Rounds per group: the ranks of all groups stay in the checkpoint folder."""
+    found = None
+    while True:
+        step = materialize(step)
+        settled = step.where(F.col("value").isNotNull())
+        found = settled if found is None else found.unionByName(settled)
+        pending = step.where(F.col("value").isNull())
+        if pending.isEmpty():
+            return found
+        step = _next_round(values, keys, pending, False)
+
+
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
@@ -131,26 +163,13 @@ def exact_quantiles(
     require_columns(df, [*cols, *by])
     if any(not 0.0 <= p <= 1.0 for p in probs):
         raise ValueError("probabilities must lie in [0, 1]")
-    keys = [*by, "column"]
-    bounded = not by
-    spark = df.sparkSession
-    values = present_values(df, cols, by)
-
-    def keep(step: DataFrame) -> DataFrame:
-        if bounded:  # at most 2 * len(cols) * len(probs) rows
-            return spark.createDataFrame(step.collect(), step.schema)
-        return materialize(step)
-
-    step = keep(_first_round(values, keys, probs))
-    found = step.where(F.col("value").isNotNull())
-    pending = step.where(F.col("value").isNull())
-    while not pending.isEmpty():
-        step = keep(_next_round(values, keys, pending, bounded))
-        found = found.unionByName(step.where(F.col("value").isNotNull()))
-        pending = step.where(F.col("value").isNull())
+    keys = [*group_names(by), "column"]
+    values = long_values(df, cols, by).where(F.col("v").isNotNull())
+    first = _first_round(values, keys, probs)
+    found = _search_groups(values, keys, first) if by else _search_table(values, keys, first)
     lower = F.max(F.when(F.col("side") == 0, F.col("value")))
     upper = F.max(F.when(F.col("side") == 1, F.col("value")))
-    return (
+    answer = (
         found.groupBy(*keys, "p")
         .agg(lower.alias("lower"), upper.alias("upper"), F.max("frac").alias("frac"))
         .select(
@@ -161,6 +180,7 @@ def exact_quantiles(
             .alias("quantile"),
         )
     )
+    return named_groups(answer, by)
 
 
 def approx_quantiles(
@@ -173,13 +193,16 @@ def approx_quantiles(
     """Same shape from one mergeable sketch per column (``percentile_approx``)."""
     require_columns(df, [*cols, *by])
     wanted = F.array(*[F.lit(float(p)) for p in probs])
-    return (
-        present_values(df, cols, by)
-        .groupBy(*by, "column")
+    keys = [*group_names(by), "column"]
+    answer = (
+        long_values(df, cols, by)
+        .where(F.col("v").isNotNull())
+        .groupBy(*keys)
         .agg(F.percentile_approx("v", [float(p) for p in probs], accuracy).alias("q"))
-        .select(*by, "column", F.explode(F.arrays_zip(wanted.alias("p"), "q")).alias("z"))
-        .select(*by, "column", F.col("z.p").alias("p"), F.col("z.q").alias("quantile"))
+        .select(*keys, F.explode(F.arrays_zip(wanted.alias("p"), "q")).alias("z"))
+        .select(*keys, F.col("z.p").alias("p"), F.col("z.q").alias("quantile"))
     )
+    return named_groups(answer, by)
 
 
 def quantiles(

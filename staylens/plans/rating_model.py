@@ -7,9 +7,38 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from staylens.functions.scalars import column
 from staylens.operators.evaluate import classification_report, confusion_matrix
+from staylens.operators.features import label_encode
 from staylens.operators.models import GridSearch, TreeFamily, depth_sweep, grid_search, prepare
+from staylens.operators.sentiment import SCORE
 from staylens.operators.stats import rating_bands
+from staylens.plans.comments import score_comments
+
+# What a listing-review table offers the model.
+ENCODED_COLUMNS = ("Property Type", "Room Type", "Host Response Rate", "Is Superhost")
+NUMBER_COLUMNS = ("Price", "Reviews")
+
+
+def review_features(
+    cleaned: DataFrame,
+    lexicon: DataFrame,
+    key: str = "Review ID",
+    comments: str = "Comments",
+    area: str = "neighbourhood",
+    rating: str = "Overall Rating",
+    numbers: Sequence[str] = NUMBER_COLUMNS,
+    categories: Sequence[str] = ENCODED_COLUMNS,
+) -> DataFrame:
+    """(key, rating, numbers..., categories..., <area>_encoded, sentiment_score).
+
+    Comments are scored on their own; only the columns a model needs are joined to
+    the scores by key.
+    """
+    scores = score_comments(cleaned, key, comments, lexicon).select(column(key), SCORE)
+    narrow = cleaned.select(*[column(c) for c in (key, rating, area, *numbers, *categories)])
+    encoded = label_encode(narrow, area, spread=[key]).drop(area)
+    return encoded.join(scores, key, "left")
 
 
 @dataclass(frozen=True)

@@ -97,3 +97,10 @@ def test_unknown_column(spark):
         q.exact_quantiles(df, ["b"], [0.5])
     with pytest.raises(ValueError):
         q.exact_quantiles(df, ["a"], [1.5])
+
+
+def test_group_columns_may_have_any_name(spark):
+    df = spark.createDataFrame([(i % 2, i % 3, float(i)) for i in range(50)], "v int, n int, low double")
+    found = q.exact_quantiles(df, ["low"], [0.5], ["v", "n"]).collect()
+    want = {(v, n): np.median([i for i in range(50) if (i % 2, i % 3) == (v, n)]) for v in (0, 1) for n in (0, 1, 2)}
+    assert {(r["v"], r["n"]): r["quantile"] for r in found} == want

@@ -1,9 +1,12 @@
 import csv
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import rows
-from data import REVIEWS
+from data import REVIEWS, lexicon
 
+from staylens.operators.models import tree
+from staylens.plans.rating_model import review_features, train_rating_model
 from staylens.plans.explore import area_report, clean_reviews, explore
 from staylens.sources import reviews as source
 
@@ -79,3 +82,19 @@ def test_explore(spark, path):
     assert found["by_room_type"].count() == 3
     assert {r["Is Superhost"] for r in found["by_superhost"].collect()} == {"t", "f"}
     assert all(f.count() > 0 for f in found.values())
+
+
+def test_model_of_a_review_table(spark, path):
+    cleaned = clean_reviews(source.load_reviews(spark, path))
+    features = review_features(cleaned, lexicon(spark), numbers=["Price"])
+    assert features.count() == 7
+    codes = {r["Review ID"]: r["neighbourhood_encoded"] for r in features.collect()}
+    assert codes == {1: 0, 2: 0, 3: 0, 7: None, 8: None, 9: 1}
+    scores = {r["Review ID"]: r["sentiment_score"] for r in features.collect()}
+    assert scores[1] == 0.8 and scores[3] == 0.0
+    many = features.crossJoin(spark.range(40)).withColumn("Review ID", F.expr("`Review ID` * 1000 + id")).drop("id")
+    model = train_rating_model(
+        many, "Review ID", "Overall Rating", ["Price", "sentiment_score"], ["Room Type", "Host Response Rate"],
+        tree(), [2], [1, 3],
+    )
+    assert model.sweep.first()["train_accuracy"] > 0.6

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from staylens.operators.stats import number
 from staylens.runtime import join_sized, materialize_sized
 
 WHISKER = 1.5
+PAIR_SLOTS = 4
 
 
 def equal_width_bins(df: DataFrame, col: str, n: int, out: str = "bin") -> DataFrame:
@@ -196,24 +197,39 @@ def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(a, b, r) for every ordered pair, from one aggregate over one scan.
 
-    The diagonal is 1 except for a constant column, where r is NULL.
+    The diagonal is 1 except for a constant column, where r is NULL. The pairs are
+    dealt to a few rows of fixed slots: one aggregate per pair side by side would
+    exceed the number of fields Spark compiles code for, and be several times slower.
     """
     require_columns(df, cols)
     cols = list(cols)
-    numbers = df.select(*[number(df, c).alias(c) for c in cols])
-    pairs = [(c, c) for c in cols] + list(combinations(cols, 2))
-    results = []
-    for i, (a, b) in enumerate(pairs):
-        if a == b:
-            spread = F.stddev_samp(column(a))
-            results.append(F.when(spread > 0, 1.0).alias(f"r{i}"))
-        else:
-            results.append(_pearson(column(a), column(b)).alias(f"r{i}"))
-    names = [(f"r{i}", x, y) for i, (a, b) in enumerate(pairs) for x, y in {(a, b), (b, a)}]
-    labels = df.sparkSession.createDataFrame(names, "pair string, a string, b string")
-    found = numbers.agg(*results).unpivot([], [f"r{i}" for i in range(len(pairs))], "pair", "r")
+    numbers = df.select(*[number(df, c).alias(f"_c{i}") for i, c in enumerate(cols)])
+    pairs = list(combinations_with_replacement(range(len(cols)), 2))
+    deals = [pairs[i : i + PAIR_SLOTS] for i in range(0, len(pairs), PAIR_SLOTS)]
+    missing = F.lit(None).cast("double")
+    dealt, labels = [F.lit(len(deals))], []
+    for d, deal in enumerate(deals):
+        dealt.append(F.lit(d))
+        for slot in range(PAIR_SLOTS):
+            i, j = deal[slot] if slot < len(deal) else (None, None)
+            dealt += [missing, missing] if i is None else [F.col(f"_c{i}"), F.col(f"_c{j}")]
+        for slot, (i, j) in enumerate(deal):
+            labels += [(d, f"r{slot}", cols[x], cols[y]) for x, y in {(i, j), (j, i)}]
+    names = ["deal", *[f"{side}{slot}" for slot in range(PAIR_SLOTS) for side in "xy"]]
+    results = [_pearson(F.col(f"x{s}"), F.col(f"y{s}")).alias(f"r{s}") for s in range(PAIR_SLOTS)]
+    found = (
+        numbers.select(F.stack(*dealt).alias(*names))
+        .groupBy("deal")
+        .agg(*results)
+        .unpivot("deal", [f"r{s}" for s in range(PAIR_SLOTS)], "slot", "r")
+    )
+    same = (F.col("a") == F.col("b")) & F.col("r").isNotNull()
     # found has one row per pair of the columns asked for
-    return labels.join(F.broadcast(found), "pair").select("a", "b", "r")
+    return (
+        df.sparkSession.createDataFrame(labels, "deal int, slot string, a string, b string")
+        .join(F.broadcast(found), ["deal", "slot"], "left")
+        .select("a", "b", F.when(same, 1.0).otherwise(F.col("r")).alias("r"))
+    )
 
 
 def strong_correlates(

@@ -717,6 +717,7 @@ def noun_lemmas(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LEXICON_SQL = _values(POLARITIES, "token, polarity", "double")
+# Polarities are added as decimals on both sides: scores are equal to the last bit.
 _SCORES_SQL = f"""(select d.doc_id, any_value(d.lang) as lang, any_value(d.source) as source,
     coalesce(sum(polarity::decimal(18, 9))::double / nullif(count(polarity), 0), 0.0::double) as sentiment_score
   from documents d left join (select doc_id, unnest({_KEPT_SQL}) as token from documents) w on w.doc_id = d.doc_id
@@ -731,9 +732,9 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
     return score_comments(documents(spark, d), "doc_id", "text", _lexicon(spark), ["lang", "source"])
 
 
-@query("sentiment_score", f"select doc_id, round(sentiment_score, 6) as sentiment_score from {_SCORES_SQL}")
+@query("sentiment_score", f"select doc_id, sentiment_score from {_SCORES_SQL}")
 def sentiment_score(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_scores(spark, d).select("doc_id", "sentiment_score"), 6)
+    return _scores(spark, d).select("doc_id", "sentiment_score")
 
 
 @query(
@@ -744,7 +745,7 @@ def sentiment_score(spark: SparkSession, d: str) -> DataFrame:
     s as (select p.doc_id, greatest(-1.0::double, least(1.0::double, polarity * coalesce(multiplier, 1.0::double)))::decimal(18, 9) as v
       from p join {_LEXICON_SQL} x on x.token = p.token
       left join {_values(MULTIPLIERS, "token, multiplier", "double")} m on m.token = p.prior)
-    select d.doc_id, round(coalesce(sum(v)::double / nullif(count(v), 0), 0.0::double), 6) as sentiment_score
+    select d.doc_id, coalesce(sum(v)::double / nullif(count(v), 0), 0.0::double) as sentiment_score
     from documents d left join s on s.doc_id = d.doc_id group by 1""",
 )
 def sentiment_score_modified(spark: SparkSession, d: str) -> DataFrame:
@@ -752,7 +753,7 @@ def sentiment_score_modified(spark: SparkSession, d: str) -> DataFrame:
     scored = score_comments(
         documents(spark, d), "doc_id", "text", _lexicon(spark), modifiers=multipliers
     )
-    return rounded(scored.select("doc_id", "sentiment_score"), 6)
+    return scored.select("doc_id", "sentiment_score")
 
 
 _BAND_SQL = (
@@ -792,13 +793,13 @@ def sentiment_by_group(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "sentiment_tails",
     f"""with s as materialized (select * from {_SCORES_SQL})
-    select doc_id, round(sentiment_score, 6) as sentiment_score, 'high' as tail from s
+    select doc_id, sentiment_score, 'high' as tail from s
       where sentiment_score >= (select quantile_cont(sentiment_score, 0.95) from s)
-    union all select doc_id, round(sentiment_score, 6), 'low' from s
+    union all select doc_id, sentiment_score, 'low' from s
       where sentiment_score <= (select quantile_cont(sentiment_score, 0.05) from s)""",
 )
 def sentiment_tails(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(mood.sentiment_tails(_scores(spark, d).select("doc_id", "sentiment_score")), 6)
+    return mood.sentiment_tails(_scores(spark, d).select("doc_id", "sentiment_score"))
 
 
 @query(

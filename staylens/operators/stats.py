@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staylens.functions.scalars import column, present, quantile_band
 from staylens.operators.checks import require_columns
 from staylens.operators.profile import is_float
-from staylens.operators.quantiles import quantiles, thresholds
+from staylens.operators.quantiles import thresholds
 
 
 def number(df: DataFrame, name: str) -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from staylens.llm.common import table, text_or_empty
 from staylens.llm.exact_dedup import exact_dedup, without_spaces
+from staylens.llm.pieces import encode_texts
+from staylens.llm.url_filter import Rule, fit, judge_urls, seed_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +46,21 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(without_spaces(text_or_empty("text")), 256)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", digest.alias("text_sha256"))
     return exact_dedup(docs, carry=["text_sha256"])
+
+
+@query("op10_sentencepiece")
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), ids=False, digests=True)
+
+
+URL_RULES = [
+    Rule.parse("block", "net/"),
+    Rule.parse("allow", "example.net/en/"),
+    Rule.parse("block", "example.com/de/"),
+    Rule.parse("allow", "org/fr/"),
+]
+
+
+@query("op9_url_filter")
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), fit(seed_urls(spark)), URL_RULES)

@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staylens.llm.chat_format import format_turns, summarize, text_part
 from staylens.llm.common import table, text_or_empty
 from staylens.llm.exact_dedup import exact_dedup, without_spaces
 from staylens.llm.pieces import encode_texts
+from staylens.llm import toxicity
 from staylens.llm.url_filter import Rule, fit, judge_urls, seed_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +66,38 @@ URL_RULES = [
 @query("op9_url_filter")
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), fit(seed_urls(spark)), URL_RULES)
+
+
+def fit_toxicity(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> toxicity.SeverityModel:
+    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    return toxicity.fit(docs, toxicity.grades_of(table(spark, sf_dir, "labels")))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit_toxicity(spark, sf_dir)
+    return toxicity.score_severity(table(spark, sf_dir, "documents"), model).withColumn("kept", ~F.col("toxic"))
+
+
+_CONTROLS = r"\\|<\|turn\|>|<\|body\|>|<\|end\|>|<\|image\|>|<\|audio\|>|<\|document\|>|</?s>|\[/?INST\]|<</?SYS>>"
+OP5_SQL = rf"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select * from (values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v),
+sized as (
+  select *, case when role = 'assistant' then text else '' end as learned,
+    length('<|turn|><|body|><|end|>') + length(role) + length(text)
+    + len(regexp_extract_all(role, '{_CONTROLS}')) + len(regexp_extract_all(text, '{_CONTROLS}')) as chars from turns)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  sum(length(learned))::bigint as loss_chars, sha256(string_agg(learned, '' order by turn)) as loss_sha256,
+  sum(chars)::bigint as formatted_chars, 0::bigint as n_attachments, 0::bigint as attachment_tokens
+from sized group by conv_id
+"""
+
+
+@query("op5_chat_format", OP5_SQL)
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return summarize(format_turns(turns.withColumn("parts", text_part(F.col("text")))))

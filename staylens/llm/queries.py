@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from staylens.llm.chat_format import format_turns, summarize, text_part
 from staylens.llm.common import table, text_or_empty
 from staylens.llm.exact_dedup import exact_dedup, without_spaces
+from staylens.llm.html_text import extract_text
 from staylens.llm.pieces import encode_texts
-from staylens.llm import toxicity
+from staylens.llm import toxicity, warc
 from staylens.llm.url_filter import Rule, fit, judge_urls, seed_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +102,31 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return summarize(format_turns(turns.withColumn("parts", text_part(F.col("text")))))
+
+
+def page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as response records; their ids follow from the page ids."""
+    key = F.md5(F.concat(F.lit("page "), F.col("page_id").cast("string")))
+    urn = F.concat(F.lit("<urn:uuid:"), F.regexp_replace(key, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
+    header = F.array(
+        F.struct(F.lit("Content-Type").alias("name"), F.lit("text/html; charset=utf-8").alias("value")),
+        F.struct(F.lit("Content-Length").alias("name"), F.octet_length(text_or_empty("html")).cast("string").alias("value")),
+    )
+    return table(spark, sf_dir, "pages").select(
+        "page_id", urn.alias("record_id"), F.col("url").alias("target_uri"), F.lit("2024-01-01T00:00:00Z").alias("date"),
+        F.lit(200).alias("status"), header.alias("headers"), text_or_empty("html").cast("binary").alias("payload"),
+    )
+
+
+@query("op6_warc")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.serialize(warc.derive(page_responses(spark, sf_dir), carry="page_id"))
+    return records.select(
+        "page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest",
+        "source_digest", F.octet_length("record").cast("long").alias("record_length"), F.sha2("record", 256).alias("record_sha256"),
+    )
+
+
+@query("op8_html_text")
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))

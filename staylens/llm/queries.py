@@ -15,6 +15,7 @@ from staylens.llm.chat_format import format_turns, summarize, text_part
 from staylens.llm.common import table, text_or_empty
 from staylens.llm.exact_dedup import exact_dedup, without_spaces
 from staylens.llm.html_text import extract_text
+from staylens.llm.near_dedup import near_dedup
 from staylens.llm.pieces import encode_texts
 from staylens.llm import toxicity, warc
 from staylens.llm.url_filter import Rule, fit, judge_urls, seed_urls
@@ -130,3 +131,28 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_html_text")
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+OP3_SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+sets as materialized (
+  select doc_id, unnest(list_distinct(case when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as s from words where len(w) > 0),
+sizes as materialized (select doc_id, count(*) as n from sets group by doc_id),
+links as materialized (
+  select x.doc_id as a, y.doc_id as b from sets x join sets y on x.s = y.s and x.doc_id <> y.doc_id
+    join sizes p on p.doc_id = x.doc_id join sizes q on q.doc_id = y.doc_id
+  group by x.doc_id, y.doc_id, p.n, q.n having 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+least as (select a, min(b) as b from reach group by a)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) as component_id,
+  d.doc_id <= coalesce(l.b, d.doc_id) as kept
+from documents d left join sizes s on s.doc_id = d.doc_id left join least l on l.a = d.doc_id
+"""
+
+
+@query("op3_minhash_near_dedup", OP3_SQL)
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))

@@ -15,6 +15,7 @@ from staylens.llm.chat_format import format_turns, summarize, text_part
 from staylens.llm.common import table, text_or_empty
 from staylens.llm.exact_dedup import exact_dedup, without_spaces
 from staylens.llm.html_text import extract_text
+from staylens.llm.line_dedup import dedup_lines
 from staylens.llm.near_dedup import near_dedup
 from staylens.llm.pieces import encode_texts
 from staylens.llm import toxicity, warc
@@ -156,3 +157,11 @@ from documents d left join sizes s on s.doc_id = d.doc_id left join least l on l
 @query("op3_minhash_near_dedup", OP3_SQL)
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "lines_removed", "first_ids", F.length("text").cast("long").alias("chars_kept"), F.sha2("text", 256).alias("text_sha256"),
+    )

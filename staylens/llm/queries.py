@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from staylens.llm.chat_format import format_turns, summarize, text_part
 from staylens.llm.common import table, text_or_empty
+from staylens.llm.decontaminate import decontaminate
 from staylens.llm.exact_dedup import exact_dedup, without_spaces
 from staylens.llm.html_text import extract_text
 from staylens.llm.line_dedup import dedup_lines
@@ -165,3 +166,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "lines_removed", "first_ids", F.length("text").cast("long").alias("chars_kept"), F.sha2("text", 256).alias("text_sha256"),
     )
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_ids", "most_matches", (~F.col("contaminated")).alias("kept"))

@@ -90,7 +90,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "regs").mapInArrow(work, schema)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype="float64")

@@ -31,6 +31,7 @@ from staylens.llm.shingles import REGISTERS, jaccard_estimate, registers, set_ke
 
 BAND_ROWS = 4
 PERCENT = 75
+BLOCK = 256
 # A pair is left unverified only when its estimate lies five standard deviations below the threshold.
 SLACK = 5.0
 
@@ -191,13 +192,52 @@ def _across(members: DataFrame, judge: _Judge) -> DataFrame:
     """Likely pairs (a, b, cb, likely) of different components that meet in a bucket.
 
     The members of a bucket's largest component are compared with the others only, never
-    with one another; buckets of one component do not occur.
+    with one another; buckets of one component do not occur. Members travel in blocks of
+    about ``BLOCK``, and one row holds a block of others and a block of members: a passage
+    that very many texts share fills buckets with unlike texts, whose pairs are judged in
+    the task and never become rows.
     """
     counts = members.groupBy("bucket", "c").count()
-    largest = counts.groupBy("bucket").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count(F.lit(1)).alias("several")).where("several > 1").drop("several")
-    mixed = members.join(largest, "bucket")
-    others = mixed.where("c != main").select("bucket", F.col("node").alias("a"), F.col("c").alias("ca"))
-    met = others.join(mixed.select("bucket", F.col("node").alias("b"), F.col("c").alias("cb"), "main"), "bucket")
-    # of two nodes outside the largest component, the larger one asks
-    met = met.where("ca != cb and (cb = main or a > b)").select("a", "b", "cb").distinct()
-    return judge.likely(met)
+    largest = counts.groupBy("bucket").agg(
+        F.max_by("c", F.struct("count", "c")).alias("main"), F.sum("count").alias("size"), F.count(F.lit(1)).alias("several")
+    )
+    mixed = members.join(largest.where("several > 1").drop("several"), "bucket").join(judge.nodes, "node")
+    parts = F.ceil(F.col("size") / BLOCK)
+    mixed = mixed.select(
+        "bucket",
+        F.pmod(F.xxhash64("node"), parts).alias("block"),
+        F.struct("node", "c", "n", "regs", (F.col("c") == F.col("main")).alias("main")).alias("one"),
+    )
+    blocks = store(mixed.groupBy("bucket", "block").agg(F.collect_list("one").alias("many")))
+    asking = blocks.select("bucket", F.filter("many", lambda x: ~x["main"]).alias("ask")).where(F.size("ask") > 0)
+    met = asking.join(blocks.select("bucket", "many"), "bucket").select("ask", "many")
+    kind = judge.nodes.schema["node"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("cb", kind), T.StructField("likely", T.DoubleType())])
+    share, floor = judge.percent / 100, judge.floor
+
+    def side(rows: list[dict]) -> tuple[np.ndarray, ...]:
+        regs = np.frombuffer(b"".join(r["regs"] for r in rows), np.uint16).reshape(-1, REGISTERS)
+        return (regs, *(np.array([r[k] for r in rows]) for k in ("node", "c", "n", "main")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for ask, many in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                regs, nodes, parts_of, sizes, main = side(many)
+                for one in ask:
+                    # cheap bounds first: another component, sizes within reach, enough equal registers
+                    keep = (parts_of != one["c"]) & (main | (nodes < one["node"]))
+                    keep &= np.minimum(sizes, one["n"]) >= share * np.maximum(sizes, one["n"])
+                    at = np.flatnonzero(keep)
+                    mine = np.frombuffer(one["regs"], np.uint16)
+                    at = at[(regs[at] == mine).sum(1) >= floor * REGISTERS]
+                    if len(at):
+                        likely = jaccard_estimate(np.repeat(mine[None, :], len(at), 0), regs[at], np.full(len(at), float(one["n"])), sizes[at].astype(float))
+                        for k, value in zip(at[likely >= floor], likely[likely >= floor]):
+                            for column, cell in zip(out, (one["node"], many[k]["node"], many[k]["c"], float(value))):
+                                column.append(cell)
+            fields = [pa.array(c) if c else pa.array([], pa.float64()) for c in out]
+            arrow = [pa.float64() if n == "likely" else batch.schema.field(0).type.value_type.field("node").type for n in ("a", "b", "cb", "likely")]
+            yield pa.RecordBatch.from_arrays([f.cast(t) if len(f) else pa.array([], t) for f, t in zip(fields, arrow)], names=["a", "b", "cb", "likely"])
+
+    return met.mapInArrow(work, schema).groupBy("a", "b", "cb").agg(F.max("likely").alias("likely"))

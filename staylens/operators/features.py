@@ -3,73 +3,82 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.functions.scalars import column, hash_number
 from staylens.operators.checks import require_columns
 from staylens.operators.profile import numeric_columns
 from staylens.operators.stats import number
-from staylens.runtime import join_sized, materialize, materialize_sized
+from staylens.runtime import SizedTable, join_sized, materialize, materialize_sized
 
-# Levels of an encoded column are held by the driver and in the model.
-MAX_LEVELS = 100_000
-# A fold window sorts about this many rows in one task.
-ROWS_PER_FOLD_WINDOW = 1_000_000
-MIN_FOLD_SALTS = 32
+# A class is dealt into folds in so many piles, whatever the size of the table: a class
+# of a trillion rows is still shared by four thousand tasks.
+FOLD_SALTS = 4096
 
 
-def check_levels(df: DataFrame, cols: Sequence[str]) -> None:
-    """Refuse columns whose levels would not fit the driver."""
-    found = df.agg(*[F.approx_count_distinct(column(c)).alias(c) for c in cols]).first()
-    for c in cols:
-        if found[c] > MAX_LEVELS:
-            raise ValueError(f"{c} has about {found[c]} levels; label_encode it instead of one_hot")
-
-
-def one_hot_encoder(cols: Sequence[str]) -> Pipeline:
-    """Alphabetical levels, none dropped, a last slot for missing; sparse vectors."""
-    codes = [f"{c}_code" for c in cols]
-    return Pipeline(
-        stages=[
-            StringIndexer(
-                inputCols=list(cols), outputCols=codes, stringOrderType="alphabetAsc", handleInvalid="keep"
-            ),
-            OneHotEncoder(inputCols=codes, outputCols=[f"{c}_vec" for c in cols], dropLast=False),
-        ]
-    )
+@dataclass(frozen=True)
+class OneHot:
+    """Codes of the levels of some columns: 0..k-1 in alphabetical order.
+
+    Slot k of a vector means missing and slot k + 1 a level that was not there when the
+    codes were made. The levels stay in a table; the driver knows only how many there are.
+    """
+
+    codes: dict[str, SizedTable]
+
+    def slots(self, col: str) -> int:
+        return self.codes[col].rows + 2
+
+    def transform(self, df: DataFrame, spread: Sequence[str] | None = None) -> DataFrame:
+        """Add ``<col>_code`` and the sparse vector ``<col>_vec`` to each row itself."""
+        spread = list(spread or df.columns)
+        for col, table in self.codes.items():
+            code = F.when(column(col).isNull(), table.rows).otherwise(F.coalesce(column(f"{col}_code"), F.lit(table.rows + 1)))
+            df = join_sized(df, table, [col], "left", spread).withColumn(f"{col}_code", code.cast("double"))
+        names = list(self.codes)
+        last = df.sparkSession.createDataFrame(
+            [tuple(float(self.slots(c) - 1) for c in names)], ", ".join(f"`{c}_code` double" for c in names)
+        )
+        encoder = OneHotEncoder(
+            inputCols=[f"{c}_code" for c in names], outputCols=[f"{c}_vec" for c in names], dropLast=False
+        )
+        return encoder.fit(last).transform(df)  # the last slot gives the vector its size
 
+    def levels(self, col: str) -> DataFrame:
+        """(slot, level) of a column; the two last slots have no level."""
+        spark = self.codes[col].df.sparkSession
+        rows = self.codes[col].df.select(column(f"{col}_code").cast("int").alias("slot"), column(col).cast("string").alias("level"))
+        extra = spark.createDataFrame([(self.slots(col) - 2, None), (self.slots(col) - 1, None)], "slot int, level string")
+        return rows.unionByName(extra)
 
-def one_hot(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, PipelineModel]:
-    """Adds ``<col>_code`` and ``<col>_vec`` to each row itself; returns the model too."""
+
+def one_hot_codes(df: DataFrame, cols: Sequence[str]) -> OneHot:
+    """Codes from the levels that ``df`` has; any number of levels."""
     require_columns(df, cols)
-    check_levels(df, cols)
-    model = one_hot_encoder(cols).fit(df)
-    return model.transform(df), model
+    return OneHot({c: materialize_sized(label_codes(df, c).withColumnRenamed("code", f"{c}_code")) for c in cols})
 
 
-def one_hot_names(model: PipelineModel, cols: Sequence[str]) -> dict[str, list[str | None]]:
-    """Level of every slot per column; the last slot (None) stands for missing."""
-    return {c: [*levels, None] for c, levels in zip(cols, model.stages[0].labelsArray)}
+def one_hot(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, OneHot]:
+    """Adds ``<col>_code`` and ``<col>_vec`` to each row itself; returns the codes too."""
+    encoder = one_hot_codes(df, cols)
+    return encoder.transform(df), encoder
 
 
 def one_hot_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, slot, level, n): how often each slot of the encoding is 1."""
-    encoded, model = one_hot(df.select(*[column(c) for c in cols]), cols)
-    sums = encoded.agg(*[Summarizer.sum(column(f"{c}_vec")).alias(c) for c in cols])
+    """(column, slot, level, n): how often each slot of the encoding is 1; the last slot is missing."""
+    encoded, encoder = one_hot(df.select(*[column(c) for c in cols]), cols)
     parts = None
-    for c, levels in one_hot_names(model, cols).items():
-        names = F.array(*[F.lit(x).cast("string") for x in levels])
-        part = sums.select(
-            F.lit(c).alias("column"), F.posexplode(vector_to_array(column(c))).alias("slot", "total")
-        ).select(
-            "column", "slot", F.get(names, F.col("slot")).alias("level"), F.col("total").cast("long").alias("n")
-        )
+    for c in cols:
+        counts = encoded.groupBy(column(f"{c}_code").cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+        part = (
+            encoder.levels(c).where(F.col("slot") < encoder.slots(c) - 1)  # nothing is new to its own codes
+            .join(counts, "slot", "left")
+            .select(F.lit(c).alias("column"), "slot", "level", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+        )
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
@@ -141,10 +150,13 @@ def standardize(
 def hash_split(
     df: DataFrame, key: str, test: float = 0.2, seed: int = 42, out: str = "split"
 ) -> DataFrame:
-    """Adds train/test by a hash of the key: no shuffle, the same rows every time."""
+    """Adds train/test by a hash of the key: no shuffle, the same rows every time.
+
+    The whole 32-bit draw is compared, so any share is met to within chance.
+    """
     require_columns(df, [key])
-    part = F.pmod(hash_number(key, seed), F.lit(100))
-    return df.withColumn(out, F.when(part < F.lit(float(test) * 100), "test").otherwise("train"))
+    bound = F.lit(round(float(test) * 2**32))
+    return df.withColumn(out, F.when(hash_number(key, seed) < bound, "test").otherwise("train"))
 
 
 def split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -169,34 +181,23 @@ def with_class_weights(df: DataFrame, label: str, key: str, out: str = "weight")
     return join_sized(df, table, [label], "left", [key])
 
 
-def _fold_salts(df: DataFrame, key: str, seed: int, salts: int | None) -> Column:
-    draw = hash_number(key, seed)
-    if salts is not None:
-        return F.pmod(draw, F.lit(salts))
-    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    needed = F.ceil(rows / ROWS_PER_FOLD_WINDOW).cast("long")
-    return F.pmod(draw, F.greatest(F.lit(MIN_FOLD_SALTS).cast("long"), needed))
-
-
 def stratified_folds(
     df: DataFrame,
     key: str,
     label: str,
     folds: int = 5,
     seed: int = 42,
-    salts: int | None = None,
+    salts: int = FOLD_SALTS,
     out: str = "fold",
 ) -> DataFrame:
     """Adds a fold 0..folds-1, with the rows of each class dealt out evenly.
 
     A class is dealt in ``salts`` independent piles, so that a class with a third of
-    all rows is shared by that many tasks; by default their number grows with the
-    table (a million rows each). Fold sizes per class differ by at most that number.
+    all rows is shared by that many tasks. Their number is fixed: a row's pile never
+    depends on the size of the table. Fold sizes per class differ by at most that number.
     """
     require_columns(df, [key, label])
-    dealt = df.withColumn("_draw", hash_number(key, seed)).withColumn(
-        "_pile", _fold_salts(df, key, seed, salts)
-    )
+    dealt = df.withColumn("_draw", hash_number(key, seed)).withColumn("_pile", F.pmod("_draw", F.lit(salts)))
     order = Window.partitionBy(column(label), F.col("_pile")).orderBy("_draw", column(key))
     place = F.row_number().over(order) + F.col("_pile")
     return dealt.withColumn(out, F.pmod(place, F.lit(folds)).cast("int")).drop("_draw", "_pile")

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassificationModel,
@@ -24,9 +23,9 @@ from staylens.functions.scalars import column
 from staylens.operators.checks import require_columns
 from staylens.operators.evaluate import accuracy
 from staylens.operators.features import (
-    check_levels,
+    OneHot,
     hash_split,
-    one_hot_encoder,
+    one_hot_codes,
     standardize,
     stratified_folds,
     with_class_weights,
@@ -34,6 +33,8 @@ from staylens.operators.features import (
 from staylens.runtime import use_checkpoint_dir
 
 MAX_DEPTH = 30  # the deepest tree Spark grows
+MAX_BINS = 256  # split candidates of a numeric feature; more distinct values are binned
+MAX_CLASSES = 1000  # class names are held by the driver
 LABEL, FEATURES, WEIGHT, FOLD, PREDICTION = "label_index", "features", "weight", "fold", "prediction"
 
 # The depths that are swept and searched per family by default.
@@ -53,7 +54,7 @@ class ModelData:
     test: DataFrame
     key: str
     classes: list[str]
-    encoder: PipelineModel
+    encoder: OneHot
 
     def unpersist(self) -> None:
         self.train.unpersist()
@@ -74,6 +75,8 @@ def prepare(
 
     Scaling and encoding are fitted on the training rows (``fit_scope="train"``) or
     on all of them (``"all"``). Rows with a missing number or label are left out.
+    Class names come from all labelled rows: a class that occurs among the test rows
+    only stays there, and no model can get it right.
     Encoded slots are not scaled: trees split a 0/1 slot the same either way, and a
     scaled slot would make the sparse vectors dense.
     """
@@ -90,21 +93,22 @@ def prepare(
     fit_rows = rows if fit_scope == "all" else rows.where(F.col("_split") == "train")
     if numeric:
         rows = standardize(rows, numeric, fit_on=fit_rows)
-    stages = [StringIndexer(inputCol="_label", outputCol=LABEL, stringOrderType="alphabetAsc", handleInvalid="skip")]
-    check_levels(fit_rows, ["_label", *categorical])
-    if categorical:
-        stages.append(one_hot_encoder(categorical))
+    names = rows.select("_label").distinct().limit(MAX_CLASSES + 1).count()
+    if names > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+    labels = StringIndexer(inputCol="_label", outputCol=LABEL, stringOrderType="alphabetAsc").fit(rows)
+    codes = one_hot_codes(fit_rows, categorical)
+    encoded = codes.transform(labels.transform(rows), [key]) if categorical else labels.transform(rows)
     inputs = [*numeric, *[f"{c}_vec" for c in categorical]]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES))
-    encoder = Pipeline(stages=stages).fit(fit_rows)
-    encoded = encoder.transform(rows).select(column(key), LABEL, FEATURES, "_split")
+    encoded = VectorAssembler(inputCols=inputs, outputCol=FEATURES).transform(encoded)
+    encoded = encoded.select(column(key), LABEL, FEATURES, "_split")
     train, held_out = (encoded.where(F.col("_split") == part).drop("_split") for part in ("train", "test"))
     return ModelData(
         with_class_weights(train, LABEL, key, WEIGHT).persist(StorageLevel.MEMORY_AND_DISK),
         held_out.persist(StorageLevel.MEMORY_AND_DISK),
         key,
-        list(encoder.stages[0].labels),
-        encoder,
+        list(labels.labels),
+        codes,
     )
 
 
@@ -143,31 +147,37 @@ class TreeFamily:
     balanced: bool = True
 
 
-def forest(num_trees: int = 100, seed: int = 42, balanced: bool = True) -> TreeFamily:
+def forest(
+    num_trees: int = 100, seed: int = 42, balanced: bool = True, max_bins: int = MAX_BINS, min_instances: int = 1
+) -> TreeFamily:
     def fit(rows: DataFrame, depth: int, classes: int):
         use_checkpoint_dir(rows.sparkSession)
         estimator = RandomForestClassifier(
             featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, impurity="entropy",
             maxDepth=depth, numTrees=num_trees, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024,
+            maxBins=max_bins, minInstancesPerNode=min_instances,
         )
         return _weighted(estimator, balanced).fit(rows)
 
     return TreeFamily("random_forest", fit, balanced)
 
 
-def tree(seed: int = 42, balanced: bool = True) -> TreeFamily:
+def tree(seed: int = 42, balanced: bool = True, max_bins: int = MAX_BINS, min_instances: int = 1) -> TreeFamily:
     def fit(rows: DataFrame, depth: int, classes: int):
         use_checkpoint_dir(rows.sparkSession)
         estimator = DecisionTreeClassifier(
             featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, impurity="entropy",
             maxDepth=depth, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024,
+            maxBins=max_bins, minInstancesPerNode=min_instances,
         )
         return _weighted(estimator, balanced).fit(rows)
 
     return TreeFamily("decision_tree", fit, balanced)
 
 
-def boosted(rounds: int = 100, step: float = 0.3, seed: int = 42, parallelism: int = 1) -> TreeFamily:
+def boosted(
+    rounds: int = 100, step: float = 0.3, seed: int = 42, parallelism: int = 1, max_bins: int = MAX_BINS, min_instances: int = 1
+) -> TreeFamily:
     """Spark's boosted trees are binary, so each class gets a model of its own."""
 
     def fit(rows: DataFrame, depth: int, classes: int):
@@ -177,6 +187,7 @@ def boosted(rounds: int = 100, step: float = 0.3, seed: int = 42, parallelism: i
             estimator = GBTClassifier(
                 featuresCol=FEATURES, labelCol="_is_class", maxDepth=depth, maxIter=rounds,
                 stepSize=step, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024,
+                maxBins=max_bins, minInstancesPerNode=min_instances,
             )
             return estimator.fit(rows.withColumn("_is_class", (F.col(LABEL) == c).cast("double")))
 
@@ -194,16 +205,9 @@ def fit_depth(data: ModelData, family: TreeFamily, depth: int):
     return family.fit(data.train, depth, len(data.classes))
 
 
-def usable_depths(depths: Iterable[int]) -> list[tuple[int, str]]:
-    """Depths to fit, with a note where several requested ones became the limit."""
-    depths = list(dict.fromkeys(depths))
-    deeper = [d for d in depths if d > MAX_DEPTH]
-    usable = [(d, "") for d in depths if d < MAX_DEPTH]
-    if deeper:
-        usable.append((MAX_DEPTH, f"stands for requested depths {deeper}: Spark stops at {MAX_DEPTH}"))
-    elif MAX_DEPTH in depths:
-        usable.append((MAX_DEPTH, ""))
-    return usable
+def fitted_depths(depths: Iterable[int]) -> list[tuple[int, int]]:
+    """(requested, fitted) depths in the order asked for; Spark grows no tree beyond ``MAX_DEPTH``."""
+    return [(d, min(d, MAX_DEPTH)) for d in dict.fromkeys(depths)]
 
 
 def _accuracy(model, rows: DataFrame) -> float:
@@ -213,20 +217,25 @@ def _accuracy(model, rows: DataFrame) -> float:
 def depth_sweep(
     data: ModelData, family: TreeFamily, depths: Iterable[int], parallelism: int = 1
 ) -> DataFrame:
-    """(model, depth, train_accuracy, test_accuracy, fit_seconds, note), one per depth."""
+    """(model, depth, fitted_depth, train_accuracy, test_accuracy, fit_seconds) per requested depth.
 
-    def one_depth(item: tuple[int, str]):
-        depth, note = item
+    Depths beyond what Spark grows share one fit at its limit, whose figures each of
+    their rows repeats.
+    """
+
+    def one_depth(depth: int):
         start = time.perf_counter()
         model = fit_depth(data, family, depth)
         train, test = _accuracy(model, data.train), _accuracy(model, data.test)
-        return family.name, depth, train, test, time.perf_counter() - start, note
+        return train, test, time.perf_counter() - start
 
     spark = data.train.sparkSession
+    asked = fitted_depths(depths)
+    fits = list(dict.fromkeys(fitted for _, fitted in asked))
+    found = dict(zip(fits, _each(spark, one_depth, fits, parallelism)))
     return spark.createDataFrame(
-        _each(spark, one_depth, usable_depths(depths), parallelism),
-        "model string, depth int, train_accuracy double, test_accuracy double, "
-        "fit_seconds double, note string",
+        [(family.name, depth, fitted, *found[fitted]) for depth, fitted in asked],
+        "model string, depth int, fitted_depth int, train_accuracy double, test_accuracy double, fit_seconds double",
     )
 
 
@@ -257,9 +266,9 @@ def cv_scores(
     seed: int = 42,
     parallelism: int = 1,
 ) -> DataFrame:
-    """(model, depth, mean_accuracy, seconds, note) over stratified folds of the training rows.
+    """(model, depth, fitted_depth, mean_accuracy, seconds) over stratified folds of the training rows.
 
-    ``seconds`` is the sum over the folds.
+    One row per requested depth; ``seconds`` is the sum over the folds.
     """
     spark = data.train.sparkSession
     dealt = stratified_folds(data.train.drop(WEIGHT), data.key, LABEL, folds, seed, out=FOLD)
@@ -279,16 +288,19 @@ def cv_scores(
         score = _accuracy(family.fit(rows, depth, len(data.classes)), held_out)
         return depth, score, time.perf_counter() - start
 
-    usable = usable_depths(depths)
-    fits = _each(spark, one_fit, [(d, f) for d, _ in usable for f in range(folds)], parallelism)
+    asked = fitted_depths(depths)
+    fits = list(dict.fromkeys(fitted for _, fitted in asked))
+    try:
+        done = _each(spark, one_fit, [(d, f) for d in fits for f in range(folds)], parallelism)
+    finally:
+        dealt.unpersist()
     results = []
-    for depth, note in usable:
-        mine = [(score, seconds) for d, score, seconds in fits if d == depth]
+    for depth, fitted in asked:
+        mine = [(score, seconds) for d, score, seconds in done if d == fitted]
         mean = sum(score for score, _ in mine) / folds
-        results.append((family.name, depth, mean, sum(seconds for _, seconds in mine), note))
-    dealt.unpersist()
+        results.append((family.name, depth, fitted, mean, sum(seconds for _, seconds in mine)))
     return spark.createDataFrame(
-        results, "model string, depth int, mean_accuracy double, seconds double, note string"
+        results, "model string, depth int, fitted_depth int, mean_accuracy double, seconds double"
     )
 
 

@@ -80,10 +80,20 @@ def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
     )
 
 
-def dedupe(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key combination."""
-    require_columns(df, keys)
-    return df.dropDuplicates(list(keys))
+def dedupe(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """One row per key combination: the first in the order of ``order_by``, then of all columns.
+
+    Missing values come first, and missing keys equal each other. The choice depends on
+    the rows alone, so a retried task makes it again; rows are aggregated before the shuffle.
+    """
+    require_columns(df, [*keys, *order_by])
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.dropDuplicates(list(keys))
+    order = [*order_by, *[c for c in rest if c not in order_by]]
+    first = F.min(F.struct(*[F.col(f"`{c}`") for c in order if c in rest])).alias("_first")
+    found = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(first)
+    return found.select(*[F.col(f"`{c}`") if c in keys else F.col(f"_first.`{c}`").alias(c) for c in df.columns])
 
 
 def row_count(df: DataFrame) -> DataFrame:

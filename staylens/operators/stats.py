@@ -23,10 +23,19 @@ def _keyed(df: DataFrame, key: str) -> DataFrame:
     return df.where(column(key).isNotNull())
 
 
-def mean_by(df: DataFrame, key: str, value: str, out: str = "mean") -> DataFrame:
-    """(key, mean); rows without a key are left out."""
+def mean_by(df: DataFrame, key: str, value: str, out: str = "mean", sort: str | None = None) -> DataFrame:
+    """(key, mean); rows without a key are left out.
+
+    ``sort`` orders by the mean, ``"desc"`` or ``"asc"``: ties by key, missing means last.
+    """
     require_columns(df, [key, value])
-    return _keyed(df, key).groupBy(column(key).alias(key)).agg(F.avg(number(df, value)).alias(out))
+    if sort not in (None, "asc", "desc"):
+        raise ValueError("sort is 'asc' or 'desc'")
+    means = _keyed(df, key).groupBy(column(key).alias(key)).agg(F.avg(number(df, value)).alias(out))
+    if sort is None:
+        return means
+    order = column(out).desc_nulls_last() if sort == "desc" else column(out).asc_nulls_last()
+    return means.orderBy(order, column(key))
 
 
 def mean_by_each(df: DataFrame, keys: Sequence[str], value: str, out: str = "mean") -> DataFrame:

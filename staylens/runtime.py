@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 JOIN_SALTS = 32
-FILE_SPLIT_BYTES = 128 * 1024 * 1024
 
 # Rough in-memory bytes of one value, used to turn a row count into a size.
 _FIXED_WIDTH = 16
@@ -98,17 +97,3 @@ def join_sized(
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = side.df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
-
-
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input over all cores when it is too small to fill them by itself.
-
-    Small tables often come as one file with one row group, which one task reads;
-    costly work per row (text) would then use one core. The check is on the planned
-    size: an input of at least one file split per core is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    planned = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if cores <= 1 or planned >= cores * FILE_SPLIT_BYTES:
-        return df
-    return df.repartition(cores, F.col(f"`{key}`"))

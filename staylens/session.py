@@ -7,6 +7,10 @@ import os
 from pyspark.sql import SparkSession
 
 
+# Partitions a shuffle starts with on a cluster; adaptive execution merges the small ones.
+CLUSTER_PARTITIONS = 20_000
+
+
 def build_session(
     app_name: str = "staylens",
     master: str | None = None,
@@ -39,6 +43,8 @@ def build_session(
             )
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    elif master is None or not master.startswith("local"):
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(CLUSTER_PARTITIONS))
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

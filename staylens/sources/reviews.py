@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,29 +74,69 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
+_RECORD = "_malformed_record"
+
+
+def _read_csv(spark: SparkSession, path: str, multiline: bool) -> tuple[DataFrame, list[str]]:
+    """All cells as text, with the whole record where its number of cells is not the header's."""
+    options = {"header": True, "multiLine": multiline, "quote": '"', "escape": '"', "enforceSchema": False}
+    names = spark.read.csv(path, **options).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RECORD]])
+    # without pruning, since a pruned read does not count the cells of a record
+    reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", _RECORD).option("columnPruning", False)
+    return reader.csv(path, **options), names
+
+
+def _has_surplus(names: list[str]) -> Column:
+    """Whether a malformed record has more cells than there are names."""
+    cells = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    parsed = F.from_csv(F.col(_RECORD), cells, {"quote": '"', "escape": '"', "multiLine": "true"})
+    return F.coalesce(parsed[f"c{len(names)}"].isNotNull(), F.lit(False))
+
+
+def _reads(name: str) -> Column:
+    """Always true, but reads a column: Spark refuses to read the malformed record alone."""
+    return F.length(F.coalesce(F.col(f"`{name}`"), F.lit(""))) >= 0
+
+
+def malformed_rows(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """(kind, record) of CSV rows with another number of cells than the header: ``surplus`` or ``short``."""
+    raw, names = _read_csv(spark, path, multiline)
+    kind = F.when(_has_surplus(names), "surplus").otherwise("short")
+    return raw.where(F.col(_RECORD).isNotNull() & _reads(names[0])).select(kind.alias("kind"), F.col(_RECORD).alias("record"))
+
+
 def load_reviews(
     spark: SparkSession,
     path: str,
     types: Mapping[str, str] = REVIEW_COLUMNS,
     fmt: str = "csv",
     multiline: bool = True,
+    surplus: str = "raise",
 ) -> DataFrame:
     """Read a table; CSV columns are typed by *name*, in whatever order they come.
 
-    Nothing is inferred, so the file is read once and a type never depends on the
-    data: a value that does not fit its type is missing. Columns without a type stay
-    strings. ``multiline`` allows line breaks inside quoted comments; such a file is
-    read by one task, so large inputs should come as many files, or as Parquet.
+    Nothing is inferred, so a type never depends on the data: a value that does not fit
+    its type is missing. Columns without a type stay strings. A row with more cells than
+    the header fails the read; with ``surplus="quarantine"`` it is left out here and given
+    by :func:`malformed_rows`. A row with fewer cells is filled up with missing values and
+    listed there too. ``multiline`` allows line breaks inside quoted comments; such a file
+    is read by one task, so large inputs should come as many files, or as Parquet.
     """
     if fmt == "parquet":
         return nan_to_null(spark.read.parquet(path))
     if fmt != "csv":
         raise ValueError(f"unsupported format: {fmt}")
-    raw = spark.read.csv(
-        path, header=True, multiLine=multiline, quote='"', escape='"', enforceSchema=False
-    )
+    if surplus not in ("raise", "quarantine"):
+        raise ValueError("surplus is 'raise' or 'quarantine'")
+    raw, names = _read_csv(spark, path, multiline)
+    has_surplus = _has_surplus(names) & _reads(names[0])
+    refused = F.lit(False)
+    if surplus == "raise":
+        refused = F.raise_error(F.concat(F.lit("more cells than the header has: "), F.col(_RECORD))).cast("boolean")
+    raw = raw.where(F.when(has_surplus, refused).otherwise(True))
     columns = []
-    for name in raw.columns:
+    for name in names:
         text = F.col(f"`{name}`")
         text = F.when(~text.isin(*MISSING_TOKENS), text)
         kind = types.get(name, "string")

@@ -13,11 +13,13 @@ BOTH = pytest.mark.parametrize("limit", [1 << 26, 0])
 def test_one_hot_is_in_its_own_row(spark):
     df = reviews(spark).where("review_id > 2")
     encoded, model = features.one_hot(df, ["room_type", "host_response_rate"])
-    names = features.one_hot_names(model, ["room_type", "host_response_rate"])
-    assert names["room_type"] == ["Entire home/apt", "Private room", "Shared room", None]
+    names = [r["level"] for r in model.levels("room_type").orderBy("slot").collect()]
+    assert names == ["Entire home/apt", "Private room", "Shared room", None, None]
     for r in encoded.collect():
         vector = r["room_type_vec"].toArray()
-        assert vector.sum() == 1 and names["room_type"][int(vector.argmax())] == r["room_type"]
+        assert len(vector) == 5 and vector.sum() == 1 and names[int(vector.argmax())] == r["room_type"]
+    new = model.transform(spark.createDataFrame([("Tent", "90%"), (None, None)], "room_type string, host_response_rate string"))
+    assert [int(r["room_type_vec"].toArray().argmax()) for r in new.orderBy("room_type").collect()] == [3, 4]
     counts = {(r["column"], r["level"]): r["n"] for r in features.one_hot_counts(df, ["room_type"]).collect()}
     assert counts == {
         ("room_type", "Entire home/apt"): 1, ("room_type", "Private room"): 4,
@@ -25,10 +27,18 @@ def test_one_hot_is_in_its_own_row(spark):
     }
 
 
-def test_one_hot_refuses_unbounded_levels(spark, monkeypatch):
-    monkeypatch.setattr(features, "MAX_LEVELS", 2)
-    with pytest.raises(ValueError):
-        features.one_hot(reviews(spark), ["room_type"])
+def test_one_hot_of_very_many_levels(spark):
+    df = spark.range(120_000).selectExpr("id", "concat('v', id) as v")
+    encoded, model = features.one_hot(df, ["v"])
+    assert model.slots("v") == 120_002
+    assert encoded.where("v = 'v77'").first()["v_vec"].size == 120_002
+
+
+@pytest.mark.parametrize("share", [0.001, 0.07, 0.125, 0.55])
+def test_split_meets_any_share(spark, share):
+    n = 200_000
+    found = features.hash_split(spark.range(n), "id", test=share).where("split = 'test'").count()
+    assert abs(found - n * share) < 5 * (n * share * (1 - share)) ** 0.5
 
 
 @BOTH
@@ -70,7 +80,7 @@ def test_weights(spark, monkeypatch, limit):
     assert weighted.agg(F.sum("weight")).first()[0] == pytest.approx(100)
 
 
-@pytest.mark.parametrize("salts", [None, 7])
+@pytest.mark.parametrize("salts", [features.FOLD_SALTS, 7])
 def test_folds(spark, salts):
     df = spark.range(9000).selectExpr("id", "case when id % 3 = 0 then 'x' when id % 50 = 1 then 'rare' else 'y' end y")
     folded = features.stratified_folds(df, "id", "y", 5, salts=salts)
@@ -79,7 +89,7 @@ def test_folds(spark, salts):
     for r in folded.groupBy("y", "fold").count().collect():
         sizes.setdefault(r["y"], []).append(r["count"])
     for counts in sizes.values():
-        assert len(counts) == 5 and max(counts) - min(counts) <= (salts or features.MIN_FOLD_SALTS)
+        assert len(counts) == 5 and max(counts) - min(counts) <= salts
     assert rows(folded) == rows(features.stratified_folds(df.repartition(9), "id", "y", 5, salts=salts))
 
 

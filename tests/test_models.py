@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from staylens.operators import models
+from staylens.operators import features, models
 from staylens.plans.rating_model import train_rating_model
 
 
@@ -29,14 +29,28 @@ def test_prepare(data):
     assert data.classes == ["High", "Low", "Medium"]
     assert data.train.count() + data.test.count() == 1200
     assert data.train.columns == ["label_index", "id", "features", "weight"]
-    assert data.train.first()["features"].size == 2 + 3
+    assert data.train.first()["features"].size == 2 + 4
 
 
-def test_deep_requests_are_reported():
-    assert models.usable_depths(range(28, 33)) == [
-        (28, ""), (29, ""), (30, "stands for requested depths [31, 32]: Spark stops at 30")
-    ]
-    assert models.usable_depths([5, 5, 30]) == [(5, ""), (30, "")]
+def test_every_requested_depth_has_a_row(data):
+    assert models.fitted_depths([29, 30, 31, 31, 40]) == [(29, 29), (30, 30), (31, 30), (40, 30)]
+    found = models.depth_sweep(data, models.tree(), [2, 31, 40]).collect()
+    assert [(r["depth"], r["fitted_depth"]) for r in found] == [(2, 2), (31, 30), (40, 30)]
+    assert found[1]["test_accuracy"] == found[2]["test_accuracy"]
+
+
+def test_class_of_test_rows_only_counts_as_wrong(spark):
+    made = features.hash_split(spark.range(1000), "id").selectExpr(
+        "id", "cast(id % 2 as double) as x",
+        "case when split = 'test' and id % 3 = 0 then 'new' when id % 2 = 0 then 'a' else 'b' end as y",
+    )
+    data = models.prepare(made, "id", "y", ["x"])
+    model = models.fit_depth(data, models.tree(), 3)
+    predicted = models.predict(data, model)
+    n, new = predicted.count(), predicted.where("label = 'new'").count()
+    assert n == made.where("y = 'new'").count() + predicted.where("label <> 'new'").count() and new > 0
+    assert predicted.where("label = predicted").count() == n - new
+    data.unpersist()
 
 
 @pytest.mark.parametrize("family", [models.forest(num_trees=8), models.tree(), models.boosted(rounds=4)], ids=lambda f: f.name)

@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as driver
 import oracle
+from staylens.plans import catalog
 
-WITH_SQL = sorted(driver.oracle_sql())
-WITHOUT_SQL = sorted(set(driver.queries()) - set(WITH_SQL))
+WITH_SQL = sorted(catalog.ORACLES)
+WITHOUT_SQL = sorted(set(catalog.QUERIES) - set(WITH_SQL))
 
 
 @pytest.fixture(scope="module")

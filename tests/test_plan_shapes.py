@@ -7,9 +7,10 @@ import pytest
 import __spark_entry__ as driver
 from staylens import runtime
 from staylens.operators.text import normalize_text
+from staylens.plans import catalog
 
 # The models' own fits are Spark ML; what they return is a small local table.
-NAMES = [n for n in driver.queries() if n.split("_")[0] not in ("rf", "dt", "gbt")]
+NAMES = [n for n in catalog.QUERIES if n.split("_")[0] not in ("rf", "dt", "gbt")]
 
 
 def plan_of(df):
@@ -31,7 +32,7 @@ def test_no_python_no_cartesian_no_global_window(name, spark, sf_dir):
         ("mean_by_group", "l_suppkey:bigint,l_extendedprice:double", None),
         ("filter_equal", "l_orderkey:bigint,l_linenumber:int,l_discount:double,l_tax:double", "EqualTo(l_discount,0.0)"),
         ("filter_non_negative", "c_custkey:bigint", "GreaterThanOrEqual(c_acctbal,0.0)"),
-        ("token_counts", "doc_id:bigint,text:string>", None),
+        ("token_counts", "text:string>", None),
     ],
 )
 def test_scans_are_narrow(name, column, filters, spark, sf_dir):
@@ -60,13 +61,6 @@ def test_lemmas_shuffle_texts_once(spark, sf_dir):
     assert plan.count("Exchange hashpartitioning(_key") == 1
 
 
-def test_only_small_inputs_are_spread(spark, sf_dir, monkeypatch):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert "Exchange" in plan_of(runtime.spread_small(docs, "doc_id"))
-    monkeypatch.setattr(runtime, "FILE_SPLIT_BYTES", 1)
-    assert "Exchange" not in plan_of(runtime.spread_small(docs, "doc_id"))
-
-
 def test_checkpoints_go_where_the_session_says(spark, tmp_path):
     runtime.materialize(spark.range(3))
     assert spark.sparkContext.getCheckpointDir() is not None

@@ -38,7 +38,11 @@ def test_empty_table(spark):
 def test_duplicates(spark):
     assert rows(profile.duplicate_count(reviews(spark))) == [(int(frame().duplicated().sum()),)] == [(1,)]
     assert rows(profile.duplicate_count(reviews(spark), ["room_type"])) == [(8,)]
-    assert profile.dedupe(reviews(spark), ["listing_id"]).count() == 7
+    df = reviews(spark)
+    found = profile.dedupe(df, ["listing_id"], ["review_id"])
+    assert found.count() == 7 and found.columns == df.columns
+    again = profile.dedupe(df.repartition(7), ["listing_id"], ["review_id"])
+    assert sorted(map(str, found.collect())) == sorted(map(str, again.collect()))
     assert rows(profile.row_count(reviews(spark))) == [(12,)]
 
 

@@ -36,6 +36,17 @@ def path(tmp_path_factory):
     return str(file)
 
 
+def test_rows_with_surplus_or_too_few_cells(spark, tmp_path):
+    file = tmp_path / "odd.csv"
+    file.write_text('id,comment,price\n1,"fine, quoted",5\n2,bad, with comma,7\n3,short\n4,ok,\n')
+    kinds = {"id": "long", "price": "double"}
+    with pytest.raises(Exception, match="more cells than the header"):
+        source.load_reviews(spark, str(file), kinds).count()
+    kept = source.load_reviews(spark, str(file), kinds, surplus="quarantine")
+    assert rows(kept) == [(1, "fine, quoted", 5.0), (3, "short", None), (4, "ok", None)]
+    assert rows(source.malformed_rows(spark, str(file))) == [("short", "3,short"), ("surplus", "2,bad, with comma,7")]
+
+
 def test_load(spark, path):
     df = source.load_reviews(spark, path)
     types = dict(df.dtypes)

@@ -71,23 +71,29 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, schema)
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, node): one row per node and band, the bucket being a hash of band and registers."""
-    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", nodes.schema["node"].dataType)])
+def _codes(regs: np.ndarray) -> np.ndarray:
+    """The bucket of every band: a hash of band and registers."""
     bands = REGISTERS // BAND_ROWS
     rng = np.random.Generator(np.random.PCG64(7))
     factors = rng.integers(0, 2**63, (bands, BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
     starts = rng.integers(0, 2**63, bands, np.uint64)
+    banded = regs.reshape(-1, bands, BAND_ROWS)
+    code = np.repeat(starts[None, :], len(banded), 0)
+    for j in range(BAND_ROWS):
+        code = (code ^ banded[:, :, j].astype(np.uint64)) * factors[None, :, j]
+        code ^= code >> np.uint64(29)
+    return code.view(np.int64)
+
+
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, node): one row per node and band."""
+    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", nodes.schema["node"].dataType)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            regs = np.frombuffer(b"".join(r.as_py() for r in batch.column(1)), np.uint16).reshape(-1, bands, BAND_ROWS)
-            code = np.repeat(starts[None, :], len(regs), 0)
-            for j in range(BAND_ROWS):
-                code = (code ^ regs[:, :, j].astype(np.uint64)) * factors[None, :, j]
-                code ^= code >> np.uint64(29)
-            node = batch.column(0).take(pa.array(np.repeat(np.arange(len(regs)), bands)))
-            yield pa.RecordBatch.from_arrays([pa.array(code.ravel().view(np.int64)), node], names=["bucket", "node"])
+            code = _codes(np.frombuffer(b"".join(r.as_py() for r in batch.column(1)), np.uint16))
+            node = batch.column(0).take(pa.array(np.repeat(np.arange(len(code)), code.shape[1])))
+            yield pa.RecordBatch.from_arrays([pa.array(code.ravel()), node], names=["bucket", "node"])
 
     return nodes.select("node", "regs").mapInArrow(work, schema)
 
@@ -301,7 +307,7 @@ def _verified(met: DataFrame, judge: _Judge) -> DataFrame:
 
 
 def _undecided(met: DataFrame, judge: _Judge) -> DataFrame:
-    """(bucket, node): members with a candidate of another component."""
+    """(bucket, node): members with a candidate of another component, in the first bucket they share."""
     kind = judge.nodes.schema["node"].dataType
     share, floor = judge.percent / 100, judge.floor
 
@@ -310,7 +316,9 @@ def _undecided(met: DataFrame, judge: _Judge) -> DataFrame:
             buckets, nodes = [], []
             for bucket, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 ask, many = _Block(x), _Block(y)
-                found = _candidates(ask, many, share, floor)
+                mine, other = _codes(ask.regs), _codes(many.regs)
+                # a pair that meets in several buckets is left to the first of them
+                found = [f for f in _candidates(ask, many, share, floor) if mine[f[1]][np.argmax(mine[f[1]] == other[f[2]])] == bucket]
                 open_ones = {ask.nodes[i].item() for _, i, _ in found} | {many.nodes[k].item() for _, _, k in found}
                 buckets += [bucket] * len(open_ones)
                 nodes += open_ones

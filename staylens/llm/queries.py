@@ -6,6 +6,7 @@ derives the digest columns that are compared.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from staylens.llm.exact_dedup import exact_dedup, without_spaces
 from staylens.llm.html_text import extract_text
 from staylens.llm.line_dedup import dedup_lines
 from staylens.llm.near_dedup import near_dedup
+from staylens.llm.period_runs import find_runs, longest_run
 from staylens.llm.pieces import encode_texts
 from staylens.llm import toxicity, warc
 from staylens.llm.url_filter import Rule, fit, judge_urls, seed_urls
@@ -173,3 +175,23 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_ids", "most_matches", (~F.col("contaminated")).alias("kept"))
+
+
+def plant_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a tenth of all documents, by their id, made periodic from some word on."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+@query("op13_period_runs")
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_runs(docs, prepare=plant_period, texts=False, digests=True)
+    return found.withColumns(longest_run(F.col("runs"))).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"
+    )

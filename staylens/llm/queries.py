@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from staylens.llm.chat_format import format_turns, summarize, text_part
 from staylens.llm.common import table, text_or_empty
 from staylens.llm.decontaminate import decontaminate
+from staylens.llm.divergence import audit_sources
 from staylens.llm.exact_dedup import exact_dedup, without_spaces
 from staylens.llm.html_text import extract_text
 from staylens.llm.line_dedup import dedup_lines
@@ -195,3 +196,39 @@ def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(longest_run(F.col("runs"))).select(
         "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"
     )
+
+
+OP12_SQL = r"""
+with docs as (
+  select row_number() over () as row_id, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+terms as materialized (
+  select row_id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as materialized (select lang, term, count(*) as n from terms group by lang, term having count(distinct row_id) >= 30),
+langs as (select lang, count(*) as v, sum(n) as n from kept group by lang),
+places as (select distinct lang, source from docs),
+counts as (select lang, source, term, count(*) as c from terms semi join kept using (lang, term) group by lang, source, term),
+totals as (select lang, source, sum(c) as n from counts group by lang, source),
+cells as materialized (
+  select lang, source, term, coalesce(c, 0) as c,
+    1 + 1000000000::hugeint * (coalesce(c, 0) + 5) // (coalesce(totals.n, 0) + 5 * langs.v) as p,
+    1 + 1000000000::hugeint * (kept.n + 5) // (langs.n + 5 * langs.v) as q
+  from places join kept using (lang) join langs using (lang)
+    left join totals using (lang, source) left join counts using (lang, source, term)),
+apart as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+  from cells a join cells b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+parts as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from places a join places b on a.lang = b.lang and a.source <> b.source
+    left join apart on apart.lang = a.lang and apart.source = a.source and apart.item = b.source
+  union all
+  select lang, source, 'term', term, (p - q)::bigint from cells where c > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from parts)
+select * from ranked where part = 'pair' or rank <= 50
+"""
+
+
+@query("op12_source_divergence", OP12_SQL)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))

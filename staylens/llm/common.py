@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Sequence
 
@@ -34,7 +35,25 @@ def store(df: DataFrame) -> DataFrame:
     use_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    return made
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that :func:`store` wrote and that nothing reads any more.
+
+    To be called when the next step is stored itself. The hint to the driver's garbage
+    collector lets Spark's cleaner delete the shuffle files of finished steps as well; a job
+    of many steps would keep them until the driver happens to run short of memory.
+    """
+    jvm = tables[0].sparkSession.sparkContext._jvm
+    conf = tables[0].sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for made in tables:
+        path = jvm.org.apache.hadoop.fs.Path(made.stored_at)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:

@@ -21,6 +21,7 @@ from staylens.llm.html_text import extract_text
 from staylens.llm.line_dedup import dedup_lines
 from staylens.llm.near_dedup import near_dedup
 from staylens.llm.period_runs import find_runs, longest_run
+from staylens.llm.phrases import drop_repeats
 from staylens.llm.pieces import encode_texts
 from staylens.llm import toxicity, warc
 from staylens.llm.url_filter import Rule, fit, judge_urls, seed_urls
@@ -198,6 +199,28 @@ def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP11_SQL = r"""
+with texts as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+windows as materialized (
+  select doc_id, unnest(range(1, len(w) - 18)) as spot,
+    unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) as words
+  from texts where len(w) >= 20),
+ranked as (select doc_id, spot, row_number() over (partition by words order by doc_id, spot) as place from windows),
+gone as materialized (select distinct doc_id, unnest(range(spot, spot + 20)) as spot from ranked where place > 1),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as spot from texts),
+kept as (
+  select doc_id, count(*) as n, string_agg(word, ' ' order by spot) as body from words anti join gone using (doc_id, spot) group by doc_id)
+select t.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(body, '')) as kept_sha256
+from texts t left join kept using (doc_id)
+"""
+
+
+@query("op11_repeated_phrases", OP11_SQL)
+def op11_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(table(spark, sf_dir, "documents"), texts=False, digests=True)
+
+
 OP12_SQL = r"""
 with docs as (
   select row_number() over () as row_id, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''),

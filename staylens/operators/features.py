@@ -181,6 +181,27 @@ def with_class_weights(df: DataFrame, label: str, key: str, out: str = "weight")
     return join_sized(df, table, [label], "left", [key])
 
 
+def oversample(
+    df: DataFrame, label: str, key: str, ratio: float = 1.0, seed: int = 42, out: str = "copy"
+) -> DataFrame:
+    """Rows repeated until every class has about ``ratio`` times the rows of the largest class.
+
+    A class whose share of that is s has each row floor(1 / s) times, and once more where a hash of
+    its key falls below the fraction: the same rows every time, also in a task that is
+    retried. ``out`` numbers the copies from 0. No class loses rows; rows without a label stay
+    single.
+    """
+    require_columns(df, [label, key])
+    counts = df.where(column(label).isNotNull()).groupBy(column(label).alias(label)).agg(F.count(F.lit(1)).alias("_n"))
+    largest = counts.agg(F.max("_n").alias("m")).scalar()
+    times = F.greatest(F.lit(float(ratio)) * largest / F.col("_n"), F.lit(1.0))
+    table = materialize_sized(counts.select(column(label), times.alias("_times")))
+    drawn = join_sized(df, table, [label], "left", [key])
+    more = hash_number(key, seed) < F.round((F.col("_times") - F.floor("_times")) * 2**32)
+    copies = F.coalesce(F.floor("_times").cast("int") + more.cast("int"), F.lit(1))
+    return drawn.withColumn(out, F.explode(F.sequence(F.lit(0), copies - 1))).select(*[column(c) for c in df.columns], out)
+
+
 def stratified_folds(
     df: DataFrame,
     key: str,

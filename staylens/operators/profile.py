@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from staylens.functions.scalars import grouping_key, present
 from staylens.operators.checks import require_columns
-from staylens.operators.quantiles import group_names, long_values, named_groups, quantiles
+from staylens.operators.quantiles import group_names, long_values, named_groups, value_table, with_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -105,28 +105,32 @@ def describe(
 ) -> DataFrame:
     """count, mean, std, min, quartiles and max per column - and per group, with ``by``.
 
-    Groups without a key are left out; missing values are not counted.
+    Groups without a key are left out; missing values are not counted. The values are
+    counted when this is called, in one scan that all figures come from; with ``accuracy`` one
+    lazy aggregate gives all of them, the quartiles sketched.
     """
     require_columns(df, [*cols, *by])
-    keys = [*group_names(by), "column"]
-    stats = long_values(df, cols, by).groupBy(*keys).agg(
-        F.count("v").alias("count"),
-        F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
-    )
-    found = quantiles(df, cols, QUARTILES, by, accuracy)
-    quartiles = found.withColumnsRenamed(dict(zip(by, group_names(by)))).groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(name)
-            for p, name in zip(QUARTILES, ("q25", "median", "q75"))
-        ]
-    )
-    joined = stats.join(quartiles, keys, "left").select(
-        *keys, "count", "mean", "std", "min", "q25", "median", "q75", "max"
-    )
-    return named_groups(joined, by)
+    names = ("q25", "median", "q75")
+    if accuracy is None:
+        table = value_table(df, cols, by)
+        spread = with_quantiles(table, QUARTILES)
+        gap = F.col("v") - F.col("mean")
+        found = spread.groupBy(*table.keys, "total", "mean", *[f"q{i}" for i in range(3)]).agg(
+            F.sqrt(F.try_divide(F.sum(F.col("n") * gap * gap), F.when(F.col("total") > 1, F.col("total") - 1))).alias("std"),
+            F.min("v").alias("min"),
+            F.max("v").alias("max"),
+        )
+        found = found.withColumnsRenamed({"total": "count", **{f"q{i}": name for i, name in enumerate(names)}})
+    else:
+        keys = [*group_names(by), "column"]
+        sketch = F.percentile_approx("v", list(QUARTILES), accuracy)
+        found = long_values(df, cols, by).groupBy(*keys).agg(
+            F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+            F.min("v").alias("min"), F.max("v").alias("max"), sketch.alias("_q"),
+        )
+        found = found.select("*", *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(names)])
+    order = [*group_names(by), "column", "count", "mean", "std", "min", *names, "max"]
+    return named_groups(found.select(*order), by)
 
 
 def describe_by(

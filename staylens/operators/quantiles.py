@@ -1,32 +1,35 @@
-"""Exact quantiles (linear interpolation) that never hold a group in one task.
-
-``percentile`` keeps every distinct value of a group in the memory of one task,
-which fails once a hot group holds a third of a large table. Here the wanted order
-statistics are found by narrowing ranges of values, round by round:
-
-* a value maps to a bucket by a non-decreasing function, and each bucket's rows are
-  counted together with its smallest and largest value (map-side combined, so the
-  shuffle carries counts, never rows);
-* running counts tell which bucket holds a wanted rank. The rank is settled when
-  the bucket has one distinct value or the rank is at its edge; otherwise the
-  bucket's own range is what the next round divides.
-
-Columns with few distinct values (ratings, percentages, flags) settle in the first
-round, other columns usually in the second. A round always separates the smallest
-from the largest value of a range, so the search ends, and its answer does not
-depend on how the data are laid out.
+"""Exact quantiles (linear interpolation), and all else that values and their counts tell.
+
+The source is read once: :func:`value_table` aggregates it to (group, column, value, n) with
+map-side counts and stores that. Quantiles, means, spreads and extremes all read the stored
+counts, whose size is known from the write.
+
+* Up to ``WINDOW_ROWS`` counts, running sums per group and column give every order statistic
+  in one lazy pass. Ratings, percentages and prices stay far below this whatever the number
+  of rows.
+* Beyond it a hot group could hold billions of distinct values, which must not meet in one
+  task. Then the wanted order statistics are found by narrowing ranges of values, round by
+  round: a value maps to a bucket by a non-decreasing function, and each bucket's rows are
+  counted together with its smallest and largest value, so a shuffle carries bucket counts
+  only. Running counts tell which bucket holds a wanted rank. It is settled when the bucket
+  has one distinct value or the rank is at its edge; otherwise the bucket's own range is what
+  the next round divides. A round always separates the smallest from the largest value of a
+  range, so the search ends, and its answer does not depend on how the data are laid out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from staylens.operators.checks import require_columns
-from staylens.runtime import join_sized, materialize, measure
+from staylens.runtime import join_sized, materialize, materialize_sized, measure
 
+# Stored counts of which a group may lie in one task, all of them even.
+WINDOW_ROWS = 2_000_000
 # First round: buckets per factor e of magnitude (neighbours differ by 0.02 percent).
 BUCKETS_PER_EFOLD = 4096
 # Later rounds: equal slices of a range.
@@ -52,9 +55,36 @@ def named_groups(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.withColumnsRenamed(dict(zip(group_names(by), by)))
 
 
+@dataclass(frozen=True)
+class ValueTable:
+    """Stored counts (_by..., column, v, n); rows that miss the value have a NULL ``v``."""
+
+    counts: DataFrame
+    rows: int
+    by: tuple[str, ...]
+
+    @property
+    def keys(self) -> list[str]:
+        return [*group_names(self.by), "column"]
+
+    @property
+    def values(self) -> DataFrame:
+        return self.counts.where(F.col("v").isNotNull())
+
+
+def value_table(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> ValueTable:
+    """Count every value of the columns, per group: the one scan of ``df``, run at once."""
+    require_columns(df, [*cols, *by])
+    keys = [*group_names(by), "column"]
+    counts = long_values(df, cols, by).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    seen = Observation()
+    stored = materialize(counts.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return ValueTable(stored, seen.get["rows"], tuple(by))
+
+
 def _count(values: DataFrame, place: list[str]) -> DataFrame:
     return values.groupBy(*place, "b").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+        F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
     )
 
 
@@ -110,7 +140,7 @@ def _next_round(values: DataFrame, keys: list[str], pending: DataFrame, bounded:
     v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
     # the ranges of a key do not overlap: a value is in one of them or in none
     part = F.floor((v - lo) / (hi - lo) * SLICES).cast("long")
-    sliced = ranged.where((v >= lo) & (v <= hi)).select(*keys, "v", "lo", part.alias("b"))
+    sliced = ranged.where((v >= lo) & (v <= hi)).select(*keys, "v", "n", "lo", part.alias("b"))
     place = [*keys, "lo"]
     counts = _running(_count(sliced, place), place)
     asked = F.broadcast(pending) if bounded else pending
@@ -151,36 +181,77 @@ def _search_groups(values: DataFrame, keys: list[str], step: DataFrame) -> DataF
         step = _next_round(values, keys, pending, False)
 
 
+def _searched(table: ValueTable, probs: Sequence[float]) -> DataFrame:
+    """(keys, p, value at the rank below, above, fraction) by narrowing."""
+    keys = table.keys
+    first = _first_round(table.values, keys, probs)
+    found = _search_groups(table.values, keys, first) if table.by else _search_table(table.values, keys, first)
+    lower = F.max(F.when(F.col("side") == 0, F.col("value")))
+    upper = F.max(F.when(F.col("side") == 1, F.col("value")))
+    return found.groupBy(*keys, "p").agg(lower.alias("lower"), upper.alias("upper"), F.max("frac").alias("frac"))
+
+
+def _between(lower: Column, upper: Column, share: Column) -> Column:
+    # equal neighbours give exactly their value, infinities included
+    return F.when(lower == upper, lower).otherwise(lower + (upper - lower) * share)
+
+
+def with_quantiles(table: ValueTable, probs: Sequence[float]) -> DataFrame:
+    """The counts with what holds for their group and column: ``total``, ``mean`` and ``q0``, ``q1``, ... per probability.
+
+    ``n`` is 0 where the value is missing. Lazy up to ``WINDOW_ROWS`` counts; beyond, the figures
+    are searched at once and joined.
+    """
+    if any(not 0.0 <= p <= 1.0 for p in probs):
+        raise ValueError("probabilities must lie in [0, 1]")
+    keys = table.keys
+    n = F.when(F.col("v").isNull(), 0).otherwise(F.col("n"))
+    counted = table.counts.withColumn("n", n)
+    weighed = F.sum(F.col("v") * F.col("n"))
+    if table.rows > WINDOW_ROWS:
+        totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"), F.try_divide(weighed, F.sum("n")).alias("mean"))
+        found = _searched(table, probs)
+        at = [F.max(F.when(F.col("p") == p, _between(F.col("lower"), F.col("upper"), F.col("frac")))) for p in probs]
+        wide = found.groupBy(*keys).agg(*[q.alias(f"q{i}") for i, q in enumerate(at)]) if probs else None
+        figures = totals if wide is None else totals.join(wide, keys, "left")
+        return join_sized(counted, materialize_sized(figures), keys, "inner", ["v"])
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.select(
+        "*", F.sum("n").over(upto).alias("_upto"), F.sum("n").over(whole).alias("total"),
+        F.try_divide(weighed.over(whole), F.sum("n").over(whole)).alias("mean"),
+    )
+    columns = []
+    for i, p in enumerate(probs):
+        position = F.lit(float(p)) * (F.col("total") - 1)
+        ends = []
+        for rank in (F.floor(position), F.ceil(position)):
+            here = (rank >= F.col("_upto") - F.col("n")) & (rank < F.col("_upto"))
+            ends.append(F.max(F.when(here, F.col("v"))).over(whole))
+        columns.append(_between(*ends, position - F.floor(position)).alias(f"q{i}"))
+    return placed.select("*", *columns).drop("_upto")
+
+
+def quantiles_of(table: ValueTable, probs: Sequence[float]) -> DataFrame:
+    """Long result (by..., column, p, quantile) of a value table; columns without values are left out."""
+    names = [f"q{i}" for i in range(len(probs))]
+    wide = with_quantiles(table, probs).groupBy(*table.keys).agg(*[F.max(q).alias(q) for q in names])
+    pairs = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col(q).alias("quantile")) for p, q in zip(probs, names)])
+    answer = wide.select(*table.keys, F.inline(pairs)).where(F.col("quantile").isNotNull())
+    return named_groups(answer, table.by)
+
+
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Long result (by..., column, p, quantile); missing values and keys are left out.
 
-    Each round is run when the function is called; only counts are kept between
-    rounds (in the checkpoint folder, or on the driver when there are no group
-    columns and the call itself bounds their number).
+    The values are counted when the function is called, in one scan of ``df``.
     """
     require_columns(df, [*cols, *by])
     if any(not 0.0 <= p <= 1.0 for p in probs):
         raise ValueError("probabilities must lie in [0, 1]")
-    keys = [*group_names(by), "column"]
-    values = long_values(df, cols, by).where(F.col("v").isNotNull())
-    first = _first_round(values, keys, probs)
-    found = _search_groups(values, keys, first) if by else _search_table(values, keys, first)
-    lower = F.max(F.when(F.col("side") == 0, F.col("value")))
-    upper = F.max(F.when(F.col("side") == 1, F.col("value")))
-    answer = (
-        found.groupBy(*keys, "p")
-        .agg(lower.alias("lower"), upper.alias("upper"), F.max("frac").alias("frac"))
-        .select(
-            *keys, "p",
-            # equal neighbours give exactly their value, infinities included
-            F.when(F.col("lower") == F.col("upper"), F.col("lower"))
-            .otherwise(F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("frac"))
-            .alias("quantile"),
-        )
-    )
-    return named_groups(answer, by)
+    return quantiles_of(value_table(df, cols, by), probs)
 
 
 def approx_quantiles(

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from staylens.functions.scalars import column, present, quantile_band
 from staylens.operators.checks import require_columns
 from staylens.operators.profile import is_float
-from staylens.operators.quantiles import thresholds
+from staylens.operators.quantiles import thresholds, value_table, with_quantiles
+from staylens.runtime import materialize
 
 
 def number(df: DataFrame, name: str) -> Column:
@@ -86,12 +87,9 @@ def means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def mean_and_median(df: DataFrame, col: str) -> DataFrame:
-    """One row (mean, median)."""
-    require_columns(df, [col])
-    median = thresholds(df, [col], [0.5]).get((col, 0.5))
-    return df.agg(F.avg(number(df, col)).alias("mean")).withColumn(
-        "median", F.lit(median).cast("double")
-    )
+    """One row (mean, median), from one scan."""
+    spread = with_quantiles(value_table(df, [col]), [0.5])
+    return spread.agg(F.max("mean").alias("mean"), F.max("q0").alias("median"))
 
 
 def top_bottom(df: DataFrame, key: str, value: str, k: int = 5) -> DataFrame:
@@ -163,55 +161,87 @@ def subset_profile(
     """(metric, key, value) of the rows that satisfy ``predicate``.
 
     Row count, distinct ``distinct`` values, the k most common values of each
-    category and the mean of each measure.
+    category and the mean of each measure. All parts come from one pass with a grouping set
+    each, which runs when this is called; its groups are stored, the result is lazy.
     """
     require_columns(df, [distinct, *categories, *measures])
-    rows = df.where(predicate)
-    aggregates = [F.count(F.lit(1)).cast("double").alias("rows")]
-    aggregates.append(F.count_distinct(column(distinct)).cast("double").alias("distinct"))
-    aggregates += [F.avg(number(df, c)).alias(f"mean_{i}") for i, c in enumerate(measures)]
+    wanted = [distinct, *categories]
+    names = [f"_g{i}" for i in range(len(wanted))]
+    rows = df.where(predicate).select(
+        *[column(c).alias(g) for c, g in zip(wanted, names)], *[number(df, c).alias(f"_m{i}") for i, c in enumerate(measures)]
+    )
+    sets = [[], *[[F.col(g)] for g in names]]
+    groups = rows.groupingSets(sets, *names).agg(
+        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n"), *[F.avg(f"_m{i}").alias(f"_m{i}") for i in range(len(measures))]
+    )
+    # grouping_id has a bit per name, the first one highest, 0 for the names of the set
+    full = 2 ** len(names) - 1
+    bit = [full - 2 ** (len(names) - 1 - i) for i in range(len(names))]
+    groups = materialize(groups)
+    found = (F.col("_set") == bit[0]) & present(names[0], is_float(rows, names[0]))
+    whole = groups.agg(
+        F.coalesce(F.max(F.when(F.col("_set") == full, F.col("n"))), F.lit(0)).cast("double").alias("rows"),
+        F.count_if(found).cast("double").alias("distinct"),
+        *[F.max(F.when(F.col("_set") == full, F.col(f"_m{i}"))).alias(f"_m{i}") for i in range(len(measures))],
+    )
     labels = [("row_count", None, "rows"), ("distinct_count", distinct, "distinct")]
-    labels += [("mean", c, f"mean_{i}") for i, c in enumerate(measures)]
+    labels += [("mean", c, f"_m{i}") for i, c in enumerate(measures)]
     entries = [
-        F.struct(
-            F.lit(metric).alias("metric"),
-            F.lit(key).cast("string").alias("key"),
-            F.col(name).alias("value"),
-        )
+        F.struct(F.lit(metric).alias("metric"), F.lit(key).cast("string").alias("key"), F.col(name).alias("value"))
         for metric, key, name in labels
     ]
-    result = rows.agg(*aggregates).select(F.inline(F.array(*entries)))
-    for category in categories:
-        top = value_counts(rows, category, k).select(
-            F.lit(f"top_{category}").alias("metric"),
-            column(category).cast("string").alias("key"),
-            F.col("n").cast("double").alias("value"),
+    result = whole.select(F.inline(F.array(*entries)))
+    for g, b, c in zip(names[1:], bit[1:], categories):
+        present_ones = groups.where((F.col("_set") == b) & present(g, is_float(rows, g)))
+        top = present_ones.orderBy(F.desc("n"), F.col(g)).limit(k)
+        result = result.unionByName(
+            top.select(F.lit(f"top_{c}").alias("metric"), F.col(g).cast("string").alias("key"), F.col("n").cast("double").alias("value"))
         )
-        result = result.unionByName(top)
     return result
 
 
 def area_profile(
-    df: DataFrame, key: str, averages: dict[str, str], modes: dict[str, str]
+    df: DataFrame, key: str, averages: dict[str, str], modes: dict[str, str], by_parts: bool = False
 ) -> DataFrame:
     """One row per key: the mean of each column in ``averages`` and the most frequent
     value of each column in ``modes`` (both: result name -> column).
 
-    All parts are aggregated by the key first and share its partitioning, so the
-    outer joins move no further rows.
+    One pass over ``df`` with a grouping set per part; its groups are put together by the key,
+    without a join. On a table that is bucketed by the key, ``by_parts=True`` needs no exchange
+    instead: a scan per part, joined on the key.
     """
     require_columns(df, [key, *averages.values(), *modes.values()])
-    profile = _keyed(df, key).groupBy(column(key).alias(key)).agg(
-        *[F.avg(number(df, c)).alias(name) for name, c in averages.items()]
+    if by_parts:
+        profile = _keyed(df, key).groupBy(column(key).alias(key)).agg(
+            *[F.avg(number(df, c)).alias(name) for name, c in averages.items()]
+        )
+        for name, c in modes.items():
+            profile = profile.join(mode_by(df, key, c, name), key, "full")
+        return profile
+    names = [f"_g{i}" for i in range(len(modes))]
+    rows = _keyed(df, key).select(
+        column(key).alias("_k"), *[column(c).alias(g) for c, g in zip(modes.values(), names)],
+        *[number(df, c).alias(f"_m{i}") for i, c in enumerate(averages.values())],
+    )
+    sets = [[F.col("_k")], *[[F.col("_k"), F.col(g)] for g in names]]
+    groups = rows.groupingSets(sets, "_k", *names).agg(
+        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n"), *[F.avg(f"_m{i}").alias(f"_m{i}") for i in range(len(averages))]
     )
-    for name, c in modes.items():
-        profile = profile.join(mode_by(df, key, c, name), key, "full")
-    return profile
+    full = 2 ** len(names) - 1
+    parts = [F.max(F.when(F.col("_set") == full, F.col(f"_m{i}"))).alias(name) for i, name in enumerate(averages)]
+    for i, (name, g) in enumerate(zip(modes, names)):
+        here = (F.col("_set") == full - 2 ** (len(names) - 1 - i)) & present(g, is_float(rows, g))
+        parts.append(F.min_by(g, F.when(here, F.struct(-F.col("n"), F.col(g)))).alias(name))
+    return groups.groupBy("_k").agg(*parts).withColumnRenamed("_k", key)
 
 
 def area_extremes(profile: DataFrame, key: str, rank_by: str, k: int = 5) -> DataFrame:
-    """The profile of the k best and k worst areas, ranked from 1 within ``side``."""
-    picked = top_bottom(profile, key, rank_by, k)
+    """The profile of the k best and k worst areas, ranked from 1 within ``side``.
+
+    The profile is computed once and stored when this is called.
+    """
+    require_columns(profile, [key, rank_by])
+    picked = materialize(top_bottom(materialize(profile), key, rank_by, k))
     value = F.when(F.col("side") == "top", -column(rank_by)).otherwise(column(rank_by))
     # at most 2k rows; ties: top by key upwards, bottom by key downwards
     places = picked.groupBy("side").agg(

@@ -654,6 +654,52 @@ def strong_correlates(spark: SparkSession, d: str) -> DataFrame:
     return rounded(distribution.strong_correlates(rows, [*MEASURES, "l_revenue", "l_due"], "l_extendedprice"))
 
 
+_VIF_ROWS = "(select l_quantity as x, l_extendedprice as y, l_extendedprice * l_tax as z from lineitem)"
+
+
+@query(
+    "vif",
+    f"""with r as (select corr(x, y) as xy, corr(x, z) as xz, corr(y, z) as yz from {_VIF_ROWS}),
+      d as (select *, 1 - xy * xy - xz * xz - yz * yz + 2 * xy * xz * yz as det from r)
+    select 'l_quantity' as "column", {r4('(1 - yz * yz) / det')} as vif from d
+    union all select 'l_extendedprice', {r4('(1 - xz * xz) / det')} from d
+    union all select 'l_due', {r4('(1 - xy * xy) / det')} from d""",
+)
+def vif(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").withColumn("l_due", F.col("l_extendedprice") * F.col("l_tax"))
+    return rounded(distribution.vif(rows, ["l_quantity", "l_extendedprice", "l_due"]))
+
+
+_JOINT = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+def _bin_sql(c: str, bins: int = 10) -> str:
+    """The bin of a value by its edges, and the lower edge of a bin."""
+    step = f"((hi_{c} - lo_{c}) / {bins})"
+    guess = f"least(floor(({c} - lo_{c}) / {step}), {bins - 1})"
+    return (
+        f"(case when {c} < {guess} * {step} + lo_{c} then {guess} "
+        f"when {c} >= ({guess} + 1) * {step} + lo_{c} and {guess} < {bins - 1} then {guess} + 2 else {guess} + 1 end)::int as b_{c}, "
+        f"{step} as step_{c}"
+    )
+
+
+@query(
+    "joint_histogram",
+    f"""with g as (select {', '.join(f'min({c}) as lo_{c}, max({c}) as hi_{c}' for c in _JOINT)} from lineitem),
+    x as (select {', '.join(_bin_sql(c) for c in _JOINT)}, g.* from lineitem, g)
+    """
+    + " union all ".join(
+        f"""select '{a}' as a, '{b}' as b, b_{a} as bin_a, b_{b} as bin_b, {r4(f'(b_{a} - 1) * step_{a} + lo_{a}')} as lower_a,
+        {r4(f'(b_{b} - 1) * step_{b} + lo_{b}')} as lower_b, count(*) as n from x group by all"""
+        for i, a in enumerate(_JOINT)
+        for b in _JOINT[i + 1 :]
+    ),
+)
+def joint_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(distribution.joint_histogram(table(spark, d, "lineitem"), _JOINT))
+
+
 @query(
     "scatter_sample",
     """select o_orderkey, o_totalprice, o_custkey from orders
@@ -926,6 +972,20 @@ def hash_split_fine(spark: SparkSession, d: str) -> DataFrame:
     return features.hash_split(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", test=0.07)
 
 
+@query(
+    "oversample",
+    f"""with c as (select o_orderstatus, count(*) as n from orders group by 1),
+    t as (select o_orderstatus, greatest(0.75 * (select max(n) from c) / n, 1.0)::double as times from c),
+    x as (select o_orderkey, o_orderstatus, floor(times)::int
+      + (case when {_DRAW_SQL} < round((times - floor(times)) * 4294967296) then 1 else 0 end) as copies
+      from orders join t using (o_orderstatus))
+    select o_orderkey, o_orderstatus, unnest(range(copies))::int as copy from x""",
+)
+def oversample(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return features.oversample(orders, "o_orderstatus", "o_orderkey", 0.75)
+
+
 @query(
     "stratified_folds",
     f"""with x as (select o_orderkey, o_orderstatus, {_DRAW_SQL} as draw,

@@ -203,10 +203,18 @@ def box_stats(df: DataFrame, key: str, value: str, accuracy: int | None = None)
     require_columns(df, [key, value])
     narrow = df.select(column(key), column(value))
     if accuracy is None:
-        rows = _with_fences(value_table(narrow, [value], [key])).withColumnsRenamed({group_names([key])[0]: "_key", "v": "_v"})
-    else:
-        rows = join_sized(_valued(narrow, key, value), _sketched(narrow, key, value, accuracy), [key], "inner", ["_v"])
-        rows = rows.select(column(key).alias("_key"), "_v", F.lit(1).alias("n"), "q25", "median", "q75", "low_fence", "high_fence")
+        return box_values(value_table(narrow, [value], [key]))
+    rows = join_sized(_valued(narrow, key, value), _sketched(narrow, key, value, accuracy), [key], "inner", ["_v"])
+    return _boxes(rows.select(column(key).alias("_key"), "_v", F.lit(1).alias("n"), "q25", "median", "q75", "low_fence", "high_fence"), key)
+
+
+def box_values(table: ValueTable) -> DataFrame:
+    """What :func:`box_stats` gives, from the values of one column that are counted by one key already."""
+    (key,) = table.by
+    return _boxes(_with_fences(table).withColumnsRenamed({group_names([key])[0]: "_key", "v": "_v"}), key)
+
+
+def _boxes(rows: DataFrame, key: str) -> DataFrame:
     inside = F.col("_v").between(F.col("low_fence"), F.col("high_fence"))
     ends = rows.groupBy("_key", "q25", "median", "q75").agg(
         F.sum("n").cast("long").alias("n"),

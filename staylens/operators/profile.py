@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 
 from staylens.functions.scalars import grouping_key, present
 from staylens.operators.checks import require_columns
-from staylens.operators.quantiles import group_names, long_values, named_groups, value_table, with_quantiles
+from staylens.operators.quantiles import ValueTable, group_names, long_values, named_groups, value_table, with_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
+QUARTILE_NAMES = ("q25", "median", "q75")
+_FIGURES = ("count", "mean", "std", "min", *QUARTILE_NAMES, "max")
 
 
 def is_float(df: DataFrame, name: str) -> bool:
@@ -110,27 +112,28 @@ def describe(
     lazy aggregate gives all of them, the quartiles sketched.
     """
     require_columns(df, [*cols, *by])
-    names = ("q25", "median", "q75")
     if accuracy is None:
-        table = value_table(df, cols, by)
-        spread = with_quantiles(table, QUARTILES)
-        gap = F.col("v") - F.col("mean")
-        found = spread.groupBy(*table.keys, "total", "mean", *[f"q{i}" for i in range(3)]).agg(
-            F.sqrt(F.try_divide(F.sum(F.col("n") * gap * gap), F.when(F.col("total") > 1, F.col("total") - 1))).alias("std"),
-            F.min("v").alias("min"),
-            F.max("v").alias("max"),
-        )
-        found = found.withColumnsRenamed({"total": "count", **{f"q{i}": name for i, name in enumerate(names)}})
-    else:
-        keys = [*group_names(by), "column"]
-        sketch = F.percentile_approx("v", list(QUARTILES), accuracy)
-        found = long_values(df, cols, by).groupBy(*keys).agg(
-            F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-            F.min("v").alias("min"), F.max("v").alias("max"), sketch.alias("_q"),
-        )
-        found = found.select("*", *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(names)])
-    order = [*group_names(by), "column", "count", "mean", "std", "min", *names, "max"]
-    return named_groups(found.select(*order), by)
+        return describe_values(value_table(df, cols, by))
+    keys = [*group_names(by), "column"]
+    sketch = F.percentile_approx("v", list(QUARTILES), accuracy)
+    found = long_values(df, cols, by).groupBy(*keys).agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+        F.min("v").alias("min"), F.max("v").alias("max"), sketch.alias("_q"),
+    )
+    found = found.select("*", *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(QUARTILE_NAMES)])
+    return named_groups(found.select(*keys, *_FIGURES), by)
+
+
+def describe_values(table: ValueTable) -> DataFrame:
+    """What :func:`describe` gives, from values that are counted already."""
+    spread = with_quantiles(table, QUARTILES).withColumnsRenamed({f"q{i}": name for i, name in enumerate(QUARTILE_NAMES)})
+    gap = F.col("v") - F.col("mean")
+    found = spread.groupBy(*table.keys, F.col("total").alias("count"), "mean", *QUARTILE_NAMES).agg(
+        F.sqrt(F.try_divide(F.sum(F.col("n") * gap * gap), F.when(F.max("total") > 1, F.max("total") - 1))).alias("std"),
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
+    )
+    return named_groups(found.select(*table.keys, *_FIGURES), table.by)
 
 
 def describe_by(

@@ -46,8 +46,11 @@ def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> D
     group are left out."""
     keys = [F.col(f"`{c}`").alias(name) for c, name in zip(by, group_names(by))]
     source = df.na.drop("any", subset=list(by)) if by else df
-    narrow = source.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
-    long = narrow.unpivot(group_names(by), [F.col(f"`{c}`") for c in cols], "column", "v")
+    if len(cols) == 1:  # keeps the partitioning of a table that is bucketed by the group
+        long = source.select(*keys, F.lit(cols[0]).alias("column"), F.col(f"`{cols[0]}`").cast("double").alias("v"))
+    else:
+        narrow = source.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+        long = narrow.unpivot(group_names(by), [F.col(f"`{c}`") for c in cols], "column", "v")
     return long.withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
 
 

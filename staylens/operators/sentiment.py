@@ -11,7 +11,7 @@ from staylens.functions.scalars import column, sentiment_band
 from staylens.functions.text import tokenize
 from staylens.operators.checks import require_columns
 from staylens.operators.stats import mean_and_median, mean_by, quantile_tails, value_counts
-from staylens.runtime import join_sized, measure
+from staylens.runtime import join_sized, materialize, measure
 
 SCORE = "sentiment_score"
 BAND = "sentiment_category"
@@ -90,7 +90,7 @@ def add_band(df: DataFrame, score: str = SCORE, out: str = BAND, cutoff: float =
 
 
 def sentiment_summary(df: DataFrame, score: str = SCORE) -> DataFrame:
-    """One row (mean, median)."""
+    """One row (mean, median), from one pass over the scores."""
     return mean_and_median(df, score)
 
 
@@ -103,4 +103,5 @@ def sentiment_band_counts(df: DataFrame, score: str = SCORE) -> DataFrame:
 
 
 def sentiment_tails(df: DataFrame, score: str = SCORE, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    return quantile_tails(df, score, low, high)
+    """The rows at or beyond the quantiles. The scores are read twice, so they are stored first."""
+    return quantile_tails(materialize(df), score, low, high)

@@ -11,7 +11,7 @@ from staylens.functions.scalars import column, present, quantile_band
 from staylens.operators.checks import require_columns
 from staylens.operators.profile import is_float
 from staylens.operators.quantiles import thresholds, value_table, with_quantiles
-from staylens.runtime import materialize
+from staylens.runtime import join_sized, materialize, materialize_sized
 
 
 def number(df: DataFrame, name: str) -> Column:
@@ -106,9 +106,12 @@ def top_bottom(df: DataFrame, key: str, value: str, k: int = 5) -> DataFrame:
 
 
 def keep_top_categories(df: DataFrame, col: str, k: int) -> DataFrame:
-    """Rows whose category is one of the k most frequent (k rows are broadcast)."""
-    top = value_counts(df, col, k).select(column(col))
-    return df.join(F.broadcast(top), col, "left_semi")
+    """Rows whose category is one of the k most frequent.
+
+    The categories are counted and stored when this is called.
+    """
+    top = materialize_sized(value_counts(df, col, k).select(column(col)))
+    return join_sized(df, top, [col], "left_semi", df.columns)
 
 
 def rating_bands(
@@ -216,7 +219,7 @@ def area_profile(
             *[F.avg(number(df, c)).alias(name) for name, c in averages.items()]
         )
         for name, c in modes.items():
-            profile = profile.join(mode_by(df, key, c, name), key, "full")
+            profile = profile.join(mode_by(df, key, c, name), key, "left")  # all keys are in the profile
         return profile
     names = [f"_g{i}" for i in range(len(modes))]
     rows = _keyed(df, key).select(

@@ -63,8 +63,9 @@ def noun_lemmas(
 ) -> DataFrame:
     """(token, lemma) for the distinct ``tokens`` whose shortest known noun form differs.
 
-    A form is the token itself, the token with a noun ending taken off, or an entry
-    of ``exceptions`` (token, lemma); it counts when it occurs in ``nouns`` (token).
+    A form is the token itself or the token with a noun ending taken off. For a token in
+    ``exceptions`` (token, lemma) the entries stand in place of the endings. A form counts
+    when it occurs in ``nouns`` (token).
     """
     word = F.col("token")
     forms = [F.struct(F.lit(0).alias("order"), word.alias("lemma"))]
@@ -77,10 +78,11 @@ def noun_lemmas(
         "token", F.col("f.order").alias("order"), F.col("f.lemma").alias("lemma")
     )
     if exceptions is not None:
-        irregular = exceptions.join(words, "token", "left_semi").select(
+        irregular = exceptions.where("token is not null and lemma is not null").join(words, "token", "left_semi").select(
             "token", F.lit(len(forms)).alias("order"), "lemma"
         )
-        candidates = candidates.unionByName(irregular)
+        regular = candidates.where("order > 0").join(irregular.select("token").distinct(), "token", "left_anti")
+        candidates = candidates.where("order = 0").unionByName(regular).unionByName(irregular)
     best = F.min(F.struct(F.length("lemma").alias("size"), "order", "lemma"))
     return (
         candidates.where(F.col("lemma").isNotNull())

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,10 @@ from staylens.operators import clean, distribution, evaluate, features, models,
 from staylens.operators import sentiment as mood
 from staylens.operators import text as words
 from staylens.operators.quantiles import quantiles
-from staylens.plans.comments import score_comments
+from staylens.plans import explore as explore_plan
+from staylens.plans.comments import comment_report, score_comments
 from staylens.runtime import use_checkpoint_dir
-from staylens.sources.reviews import load_reviews, preview, save
+from staylens.sources.reviews import load_reviews, preview, save, save_bucketed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -389,6 +391,21 @@ def mode_by_group(spark: SparkSession, d: str) -> DataFrame:
     return stats.mode_by(table(spark, d, "lineitem"), "l_suppkey", "l_quantity")
 
 
+@query(
+    "bucketed_means",
+    f"""select l_suppkey, {r4('avg(l_extendedprice)')} as mean, any_value(flag) as flag
+    from lineitem join (select l_suppkey, l_returnflag as flag from ({_mode_sql('lineitem', 'l_suppkey', 'l_returnflag')})) using (l_suppkey)
+    group by 1""",
+)
+def bucketed_means(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and mode per area of line items that were saved in buckets by area: no exchange."""
+    use_checkpoint_dir(spark)
+    name = f"line_{uuid.uuid4().hex}"
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_extendedprice", "l_returnflag")
+    saved = save_bucketed(rows, name, "l_suppkey", 8, f"{spark.sparkContext.getCheckpointDir()}/{name}")
+    return rounded(stats.area_profile(saved, "l_suppkey", {"mean": "l_extendedprice"}, {"flag": "l_returnflag"}, by_parts=True))
+
+
 @query(
     "value_counts_topk",
     "select o_custkey, count(*) as n from orders group by 1 order by n desc, o_custkey limit 10",
@@ -654,6 +671,131 @@ def strong_correlates(spark: SparkSession, d: str) -> DataFrame:
     return rounded(distribution.strong_correlates(rows, [*MEASURES, "l_revenue", "l_due"], "l_extendedprice"))
 
 
+# ---------------------------------------------------------------- whole plans
+
+def _flat(name: str, df: DataFrame, keys: list[str], figures: list[str]) -> DataFrame:
+    """(result, key, figure, value) of one result."""
+    key = F.concat_ws("|", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("-")) for k in keys])
+    cells = F.array(*[F.struct(F.lit(f).alias("figure"), F.col(f"`{f}`").cast("double").alias("value")) for f in figures])
+    return df.select(F.lit(name).alias("result"), key.alias("key"), F.inline(cells))
+
+
+def _flat_sql(name: str, sql: str, keys: list[str], figures: list[str]) -> str:
+    key = " || '|' || ".join(f"coalesce({k}::varchar, '-')" for k in keys) or "''"
+    return " union all ".join(
+        f"select '{name}' as result, {key} as key, '{f}' as figure, {r4(f'{f}::double')} as value from ({sql})" for f in figures
+    )
+
+
+# Line items as reviews: quantity, tax and discount are the ratings, the first with gaps.
+_EXPLORED = explore_plan.ReviewColumns(
+    price="price", rating="quantity", ratings=("quantity", "l_tax", "l_discount"), numbers=("price", "l_extendedprice", "double_price"),
+    host="l_partkey", neighbourhood="p_brand", area="l_suppkey", property_type="p_brand", room_type="l_returnflag",
+    superhost="l_linestatus", response_time="l_linenumber", response_rate="rate", unused=("l_shipdate",), required=("l_returnflag", "l_linestatus"),
+)
+_FIGURES = ["count", "mean", "std", "min", "q25", "median", "q75", "max"]
+_BOX = ["n", "q25", "median", "q75", "whisker_low", "whisker_high", "outliers"]
+
+
+def _box_sql(source: str, k: str, v: str) -> str:
+    return f"""select k, count(*) as n, min(a) as q25, min(m) as median, min(b) as q75,
+      least(min(case when inside then {v} end), min(a)) as whisker_low, greatest(max(case when inside then {v} end), min(b)) as whisker_high,
+      count(case when not inside then 1 end) as outliers from (
+        select *, {v} between a - 1.5 * (b - a) and b + 1.5 * (b - a) as inside from {source} join (
+          select {k} as k, quantile_cont({v}, 0.25) as a, quantile_cont({v}, 0.5) as m, quantile_cont({v}, 0.75) as b
+          from {source} group by 1) on {k} = k) group by k"""
+
+
+def _top_bottom_sql(source: str, k: str, v: str) -> str:
+    means = f"(select {k} as k, avg({v}) as mean from {source} group by 1)"
+    return (
+        f"(select 'top' as side, * from {means} order by mean desc, k limit 5) union all "
+        f"(select 'bottom' as side, * from {means} order by mean, k desc limit 5)"
+    )
+
+
+def _explore_sql() -> str:
+    ratings = _EXPLORED.ratings
+    numbers = [*ratings, *_EXPLORED.numbers]
+    parts = [
+        *[_flat_sql("missing", f"select '{c}' as c, count(*) - count({c}) as missing from raw", ["c"], ["missing"]) for c in ("quantity", "price", "l_tax")],
+        _flat_sql("duplicates", "select count(*) - (select count(*) from (select distinct * from raw)) as duplicates from raw", [], ["duplicates"]),
+        _flat_sql("price", _describe_sql("priced", ["price"], None), ['"column"'], _FIGURES),
+        _flat_sql("zero_price", "select 'row_count' as metric, null as key, count(*) as value from free", ["metric", "key"], ["value"]),
+        _flat_sql("zero_price", "select 'distinct_count' as metric, 'l_partkey' as key, count(distinct l_partkey) as value from free", ["metric", "key"], ["value"]),
+        *[_flat_sql("zero_price", f"select 'mean' as metric, '{c}' as key, avg({c}) as value from free", ["metric", "key"], ["value"]) for c in ratings],
+        _flat_sql("zero_price", "select 'top_p_brand' as metric, p_brand as key, count(*) as value from free group by 2 order by 3 desc, 2 limit 5", ["metric", "key"], ["value"]),
+        _flat_sql("ratings", _describe_sql("cleaned", list(ratings), None), ['"column"'], _FIGURES),
+        *[_flat_sql("rating_histograms", _histogram_sql("cleaned", c, 10), ['"column"', "bin"], ["n"]) for c in ratings],
+        *[
+            _flat_sql("rating_bands", f"""select '{c}' as c, case when {c} > (select quantile_cont({c}, 0.75) from cleaned) then 'High'
+              when {c} < (select quantile_cont({c}, 0.25) from cleaned) then 'Low' else 'Medium' end as band, count(*) as n
+              from cleaned group by 2""", ["c", "band"], ["n"])
+            for c in ratings
+        ],
+        *[_flat_sql("correlations", f"select '{a}' as a, '{b}' as b, {_r_sql(a, b)} as r from cleaned", ["a", "b"], ["r"]) for a in numbers for b in numbers],
+        *[_flat_sql("strong_correlates", f"select * from (select '{c}' as c, {_r_sql('quantity', c)} as r from cleaned) where r > 0.5", ["c"], ["r"]) for c in numbers],
+        _flat_sql("room_type_boxes", _box_sql("cleaned", "l_returnflag", "quantity"), ["k"], _BOX),
+        _flat_sql("by_room_type", _describe_sql("cleaned", ["quantity"], "l_returnflag"), ["l_returnflag"], _FIGURES),
+        _flat_sql("property_type_boxes", f"select * from ({_box_sql('cleaned', 'p_brand', 'quantity')}) where k in (select p_brand from cleaned group by 1 order by count(*) desc, 1 limit 10)", ["k"], _BOX),
+        _flat_sql("by_property_type", _describe_sql("cleaned", ["quantity"], "p_brand"), ["p_brand"], _FIGURES),
+        _flat_sql("neighbourhoods", _top_bottom_sql("cleaned", "p_brand", "quantity"), ["side", "k"], ["mean"]),
+        _flat_sql("postal_codes", _top_bottom_sql("cleaned", "l_suppkey", "quantity"), ["side", "k"], ["mean"]),
+        _flat_sql("by_superhost", "select l_linestatus as k, avg(quantity) as mean from cleaned group by 1", ["k"], ["mean"]),
+        _flat_sql("by_response_time", "select l_linenumber as k, avg(quantity) as mean from cleaned group by 1", ["k"], ["mean"]),
+        _flat_sql("by_response_rate", """select g.bin, avg(v) as mean from (select unnest(range(1, 6)) as bin) g left join (
+            select quantity as v, 1 + len(list_filter([1, 2, 3, 4], lambda i: p > i::double * w + lo)) as bin
+            from (select quantity, l_linenumber * 10 / 100.0::double as p from cleaned),
+              (select min(l_linenumber * 10 / 100.0::double) as lo, (max(l_linenumber * 10 / 100.0::double) - min(l_linenumber * 10 / 100.0::double)) / 5 as w from cleaned)
+          ) b on b.bin = g.bin group by 1""", ["bin"], ["mean"]),
+    ]
+    return f"""with raw as materialized (select nullif(l_quantity, 7) as quantity, l_tax, l_discount, l_extendedprice, l_linenumber, l_partkey,
+        l_suppkey, l_returnflag, l_linestatus, l_shipdate, p_brand, (l_linenumber * 10)::varchar || '%' as rate, 2 * l_quantity as double_price,
+        case when l_linenumber = 6 then null else l_extendedprice * (l_discount - 0.01) end as price
+        from lineitem join part on l_partkey = p_partkey),
+      priced as materialized (select * from raw where price >= 0), free as (select * from priced where price = 0),
+      cleaned as materialized (select * from priced where quantity is not null)
+      """ + " union all ".join(f"select * from ({p})" for p in parts)
+
+
+@query("explore_report", _explore_sql())
+def explore_report(spark: SparkSession, d: str) -> DataFrame:
+    """Every figure of the exploration, as (result, key, figure, value)."""
+    part = table(spark, d, "part").select("p_partkey", "p_brand")
+    price = F.col("l_extendedprice") * (F.col("l_discount") - 0.01)
+    rows = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.nullif(F.col("l_quantity"), F.lit(7.0)).alias("quantity"), "l_tax", "l_discount", "l_extendedprice", "l_linenumber", "l_partkey",
+        "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate", "p_brand",
+        F.concat((F.col("l_linenumber") * 10).cast("string"), F.lit("%")).alias("rate"), (F.col("l_quantity") * 2).alias("double_price"),
+        F.when(F.col("l_linenumber") == 6, "n/a").otherwise(price.cast("string")).alias("price"),
+    )
+    found = explore_plan.explore(rows, _EXPLORED)
+    missing = found["missing"].where(F.col("column").isin("quantity", "l_tax"))
+    unpriced = clean.coerce_numeric(rows, ["price"]).select("price")
+    missing = missing.select("column", "missing").unionByName(profile.missing_summary(unpriced).select("column", "missing"))
+    flat = [
+        _flat("missing", missing, ["column"], ["missing"]),
+        _flat("duplicates", found["duplicates"], [], ["duplicates"]),
+        _flat("price", found["price"], ["column"], _FIGURES),
+        _flat("zero_price", found["zero_price"].distinct(), ["metric", "key"], ["value"]),
+        _flat("ratings", found["ratings"], ["column"], _FIGURES),
+        _flat("rating_histograms", found["rating_histograms"], ["column", "bin"], ["n"]),
+        _flat("rating_bands", found["rating_bands"], ["column", "band"], ["n"]),
+        _flat("correlations", found["correlations"], ["a", "b"], ["r"]),
+        _flat("strong_correlates", found["strong_correlates"], ["column"], ["r"]),
+        _flat("room_type_boxes", found["room_type_boxes"], ["l_returnflag"], _BOX),
+        _flat("by_room_type", found["by_room_type"], ["l_returnflag"], _FIGURES),
+        _flat("property_type_boxes", found["property_type_boxes"], ["p_brand"], _BOX),
+        _flat("by_property_type", found["by_property_type"], ["p_brand"], _FIGURES),
+        _flat("neighbourhoods", found["neighbourhoods"], ["side", "p_brand"], ["mean"]),
+        _flat("postal_codes", found["postal_codes"], ["side", "l_suppkey"], ["mean"]),
+        _flat("by_superhost", found["by_superhost"], ["l_linestatus"], ["mean"]),
+        _flat("by_response_time", found["by_response_time"], ["l_linenumber"], ["mean"]),
+        _flat("by_response_rate", found["by_response_rate"], ["bin"], ["mean"]),
+    ]
+    return rounded(reduce(DataFrame.unionByName, flat))
+
+
 _VIF_ROWS = "(select l_quantity as x, l_extendedprice as y, l_extendedprice * l_tax as z from lineitem)"
 
 
@@ -803,6 +945,24 @@ def sentiment_score(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d).select("doc_id", "sentiment_score")
 
 
+_IRREGULAR = {"los": "lo", "thes": "der"}
+
+
+@query(
+    "noun_lemmas_irregular",
+    f"""with t as (select distinct unnest({_TOKENS_SQL}) as token from documents),
+    x as {_values(_IRREGULAR, "token, lemma", "varchar")},
+    f as (select * from ({_noun_forms_sql()}) where o = 0 or token not in (select token from x)
+      union all select token, 99, lemma from x where token in (select token from t)),
+    best as (select token, lemma, row_number() over (partition by token order by length(lemma), o, lemma) as rn
+      from f where lemma in (select token from t))
+    select token, lemma from best where rn = 1 and lemma <> token""",
+)
+def noun_lemmas_irregular(spark: SparkSession, d: str) -> DataFrame:
+    vocabulary = words.token_counts(documents(spark, d), "text").select("token")
+    return words.noun_lemmas(vocabulary, vocabulary, _pairs(spark, _IRREGULAR, "token string, lemma string"))
+
+
 @query(
     "sentiment_score_modified",
     f"""with t as (select doc_id, {_KEPT_SQL} as w from documents),
@@ -833,6 +993,40 @@ def sentiment_bands(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d).select("doc_id", "sentiment_category")
 
 
+@query(
+    "comment_report_lemmas",
+    f"""with l as {_LEMMA_SQL},
+    w as (select doc_id, unnest({_KEPT_SQL}) as token from documents),
+    s as materialized (select d.doc_id, any_value(d.lang) as lang, any_value(d.source) as source,
+      coalesce(sum(polarity::decimal(18, 9))::double / nullif(count(polarity), 0), 0.0::double) as sentiment_score
+      from documents d left join w on w.doc_id = d.doc_id left join l on l.token = w.token
+      left join {_LEXICON_SQL} x on x.token = coalesce(l.lemma, w.token) group by d.doc_id)
+    select 'summary' as result, '' as key, {r4('avg(sentiment_score)')} as value from s
+    union all select 'median', '', {r4('median(sentiment_score)')} from s
+    union all select 'by_lang', lang, {r4('avg(sentiment_score)')} from s group by 2
+    union all select 'by_source', source, {r4('avg(sentiment_score)')} from s group by 2
+    union all select 'bands', {_BAND_SQL}, count(*)::double from s group by 2
+    union all select 'tail_high', '', count(*)::double from s where sentiment_score >= (select quantile_cont(sentiment_score, 0.95) from s)
+    union all select 'tail_low', '', count(*)::double from s where sentiment_score <= (select quantile_cont(sentiment_score, 0.05) from s)""",
+)
+def comment_report_lemmas(spark: SparkSession, d: str) -> DataFrame:
+    """The comment report with lemmas, as (result, key, value)."""
+    lemmas = _pairs(spark, LEMMAS, "token string, lemma string")
+    docs = documents(spark, d).withColumn("length", F.length("text"))
+    found = comment_report(docs, "doc_id", "text", _lexicon(spark), ["lang", "source"], "length", lemmas=lemmas)
+    pick = lambda df, name, key, value: df.select(F.lit(name).alias("result"), key.cast("string").alias("key"), value.cast("double").alias("value"))
+    none = F.lit("")
+    tails = found["tails"].groupBy("tail").agg(F.count(F.lit(1)).alias("n"))
+    parts = [
+        pick(found["summary"], "summary", none, F.col("mean")),
+        pick(found["summary"], "median", none, F.col("median")),
+        *[pick(found[f"by_{g}"], f"by_{g}", F.col(g), F.col("mean_sentiment")) for g in ("lang", "source")],
+        pick(found["bands"], "bands", F.col("sentiment_category"), F.col("n")),
+        *[pick(tails.where(F.col("tail") == t), f"tail_{t}", none, F.col("n")) for t in ("high", "low")],
+    ]
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
 @query("sentiment_band_counts", f"select {_BAND_SQL} as sentiment_category, count(*) as n from {_SCORES_SQL} group by 1")
 def sentiment_band_counts(spark: SparkSession, d: str) -> DataFrame:
     return mood.sentiment_band_counts(_scores(spark, d).drop("sentiment_category"))

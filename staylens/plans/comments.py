@@ -15,9 +15,10 @@ from staylens.operators.sentiment import (
     sentiment_by_group,
     sentiment_score,
     sentiment_summary,
-    sentiment_tails,
 )
+from staylens.operators.stats import quantile_tails
 from staylens.operators.text import normalize_text
+from staylens.runtime import materialize
 
 PROCESSED = "processed_comments"
 
@@ -45,16 +46,28 @@ def score_comments(
 
 
 def comment_report(
-    df: DataFrame, key: str, text: str, lexicon: DataFrame, groups: Sequence[str], rating: str
+    df: DataFrame,
+    key: str,
+    text: str,
+    lexicon: DataFrame,
+    groups: Sequence[str],
+    rating: str,
+    modifiers: DataFrame | None = None,
+    lemmas: DataFrame | None = None,
+    stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
 ) -> dict[str, DataFrame]:
-    """Summary, distribution, group means, correlation with the rating, and extremes."""
-    scored = score_comments(df, key, text, lexicon, [*groups, rating]).cache()
+    """Summary, distribution, group means, correlation with the rating, and extremes.
+
+    The comments are normalised and scored once, when this is called; all results read the
+    stored scores. ``modifiers``, ``lemmas`` and ``stop_words`` are those of :func:`score_comments`.
+    """
+    scored = materialize(score_comments(df, key, text, lexicon, [*groups, rating], modifiers, lemmas, stop_words))
     return {
         "scores": scored,
         "summary": sentiment_summary(scored),
         "histogram": histogram(scored, SCORE, 50),
         "bands": sentiment_band_counts(scored.drop("sentiment_category")),
         "correlation": correlation(scored, SCORE, rating),
-        "tails": sentiment_tails(scored),
+        "tails": quantile_tails(scored, SCORE),
         **{f"by_{g}": sentiment_by_group(scored, g) for g in groups},
     }

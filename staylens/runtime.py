@@ -3,7 +3,8 @@
 Two rules of the library live here:
 
 * a side of a join is broadcast only after its size has been *measured*; past the
-  limit the join is salted and shuffled instead, with the same result;
+  limit the join is shuffled instead, with hot keys spread as often as a sketch of the
+  keys finds necessary, and with the same result;
 * lineage is cut with a reliable checkpoint only, so a lost executor can never
   change a result that two branches of a plan both read.
 """
@@ -19,7 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-JOIN_SALTS = 32
+# Keys a sketch of a join side reports at most, and those it keeps track of: it finds every key
+# with more than about 4 / SKETCH_ITEMS of the rows.
+HOT_KEYS = 1_000
+SKETCH_ITEMS = 10_000
 
 # Rough in-memory bytes of one value, used to turn a row count into a size.
 _FIXED_WIDTH = 16
@@ -74,26 +78,53 @@ def materialize_sized(df: DataFrame, limit: int | None = None) -> SizedTable:
     return measure(materialize(df), limit)
 
 
+def hot_keys(df: DataFrame, on: Sequence[str], parts: int) -> DataFrame | None:
+    """(_key, _copies): hashes of the keys that hold more than a fair share of the rows of ``df``.
+
+    A share is the rows over ``parts``; a key gets a copy per share it holds. Found by one
+    mergeable sketch of frequent items in one scan of the key columns, so at most ``HOT_KEYS``
+    numbers leave the tasks. None where no key is hot.
+    """
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in on])
+    sketch = F.expr(f"approx_top_k(_key, {HOT_KEYS}, {SKETCH_ITEMS})")
+    found = df.select(key.alias("_key")).agg(F.count(F.lit(1)).alias("n"), sketch.alias("top")).first()
+    fair = max(1, found["n"] // parts)
+    hot = [(x["item"], -(-x["count"] // fair)) for x in found["top"] or [] if x["count"] > fair]
+    return df.sparkSession.createDataFrame(hot, "_key long, _copies long") if hot else None
+
+
 def join_sized(
     df: DataFrame,
     side: SizedTable,
     on: Sequence[str],
     how: str,
     spread: Sequence[str],
-    salts: int = JOIN_SALTS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Join ``df`` to a measured table.
 
-    Within the limit the table is broadcast and ``df`` is not shuffled. Past it,
-    ``df`` is spread over ``salts`` copies of the table by a hash of the
-    ``spread`` columns, so that a hot join key is shared by many tasks. The hash
-    depends on the row alone: a retried task puts it in the same place.
+    Within the limit the table is broadcast and ``df`` is not shuffled. Past it both are
+    shuffled by the key. Only rows of ``side`` whose key is hot in ``df`` are copied, as often as
+    the key holds shares of ``1 / parts`` (the shuffle partitions of the session), and the rows
+    of ``df`` with that key choose a copy by a hash of the ``spread`` columns. The hash depends
+    on the row alone: a retried task puts it in the same place. ``df`` is read once more for
+    the sketch of its keys.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     on = list(on)
     if side.fits:
         return df.join(F.broadcast(side.df), on, how)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = side.df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    hot = hot_keys(df, on, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if hot is None:
+        return df.join(side.df, on, how)
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in on])
+    copies = F.coalesce("_copies", F.lit(1))
+    draw = F.pmod(F.xxhash64(F.lit("copy"), *[F.col(f"`{c}`") for c in spread]), copies)
+
+    def marked(table: DataFrame) -> DataFrame:
+        return table.withColumn("_key", key).join(F.broadcast(hot), "_key", "left")  # at most HOT_KEYS rows
+
+    salted = marked(df).withColumn("_salt", draw).drop("_key", "_copies")
+    spare = marked(side.df).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("_key", "_copies")
+    return salted.join(spare, [*on, "_salt"], how).drop("_salt")

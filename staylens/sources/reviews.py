@@ -233,6 +233,21 @@ def save(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexi
         raise ValueError(f"unsupported format: {fmt}")
 
 
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None, mode: str = "errorifexists") -> DataFrame:
+    """Save as a catalog table whose rows lie in ``buckets`` files by ``key``, sorted by it, and return it.
+
+    Statistics per key, and joins on the key of tables with as many buckets, then need no
+    exchange, however often the table is read: the shuffle is paid once, here. ``path`` is the
+    folder of the data (the warehouse without it). Read it again with ``spark.table(name)``.
+    """
+    require_columns(df, [key])
+    writer = df.repartition(buckets, F.col(f"`{key}`")).write.mode(mode).bucketBy(buckets, key).sortBy(key)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def preview(df: DataFrame, n: int = 5, order_by: str | None = None) -> DataFrame:
     """The first ``n`` rows; with ``order_by`` always the same ones."""
     if order_by is None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -41,19 +42,29 @@ def store(df: DataFrame) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables that :func:`store` wrote and that nothing reads any more.
+    """Delete tables that :func:`store` wrote and that nothing reads any more, then :func:`tidy`.
 
-    To be called when the next step is stored itself. The hint to the driver's garbage
-    collector lets Spark's cleaner delete the shuffle files of finished steps as well; a job
-    of many steps would keep them until the driver happens to run short of memory.
+    To be called when the next step is stored itself.
     """
-    jvm = tables[0].sparkSession.sparkContext._jvm
-    conf = tables[0].sparkSession.sparkContext._jsc.hadoopConfiguration()
+    context = tables[0].sparkSession.sparkContext
+    jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
     for made in tables:
         path = jvm.org.apache.hadoop.fs.Path(made.stored_at)
         path.getFileSystem(conf).delete(path, True)
+    tidy(tables[0].sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps.
+
+    It does so when the driver's garbage collector finds the plans unused; a job of many steps
+    would keep the files until the driver happens to run short of memory. The second hint
+    comes when Spark's listeners have let go of the last step's plan.
+    """
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.2)
+    spark.sparkContext._jvm.System.gc()
 
 
 def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:

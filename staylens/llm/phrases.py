@@ -6,13 +6,14 @@ such a piece of text is what is counted and shuffled, about one row for six word
 
 1. Anchors are counted. A window that recurs has an anchor that recurs, so pieces with any
    other anchor are done with.
-2. Equal pieces are counted and the first place of each is found; then the windows of the
-   distinct pieces are counted. Those that occur at least twice are confirmed, each with the
-   first place where it stands.
+2. Equal pieces of all documents are counted and the first place of each is found; then the
+   windows of the distinct pieces are counted. Those that occur at least twice are confirmed,
+   each with the first place where it stands.
 3. Confirmed windows are dealt to shards by anchor. A task compiles the windows of a shard
-   into one Aho-Corasick automaton whose letters are words, and streams the pieces of all
-   documents with an anchor of that shard through it. Each match that is not the window's
-   first place removes the words it covers.
+   into one Aho-Corasick automaton whose letters are words, and streams every distinct piece
+   with an anchor of that shard through it.
+4. The matches of a piece hold at all its places, whatever their number, and go there by an
+   equality join. Each match that is not the window's first place removes the words it covers.
 
 A shard with many pieces is streamed by several tasks, each with its copy of the automaton;
 one with many phrases is cut into several automata that all see its pieces. So no task
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import ahocorasick
 import numpy as np
@@ -39,6 +41,7 @@ GRAM = 8
 # Phrases of one automaton, and pieces that one task streams through it.
 UNIT_PHRASES = 8_192
 UNIT_PIECES = 100_000
+MOST_TASKS = 20_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -76,7 +79,7 @@ class _Pieces:
         self.anchor = self.key = self.hashes = np.zeros(0, np.uint64)
         if n < WINDOW:
             return
-        word = np.fromiter((xxhash.xxh3_64_intdigest(w) for text in self.words for w in text), np.uint64, n)
+        word = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(self.words)), np.uint64, n)
         gram = np.zeros(n - GRAM + 1, np.uint64)
         for j in range(GRAM):
             gram = _mix(gram ^ word[j : n - GRAM + 1 + j])
@@ -124,35 +127,40 @@ def _places(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, schema)
 
 
+def _spot(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (doc.astype(np.int64) << 32) + at
+
+
 def _cut(marked: DataFrame) -> DataFrame:
-    """(id, row, at, anchor, text, n, hashes): the marked pieces of (id, row, text, marks) with their texts.
+    """(id, row, at, anchor, key, text, n, hashes): the marked pieces of (id, row, text, marks).
 
-    A mark is the place of a piece, with a count ``n`` if it is the first place of all equal
-    pieces; only then the hashes of its windows are given.
+    A mark is the place of a piece and how often the piece occurs; ``hashes`` are those of its windows.
     """
     schema = T.StructType([
         marked.schema["id"], T.StructField("row", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("anchor", T.LongType()),
-        T.StructField("text", T.StringType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType())),
+        T.StructField("key", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n", T.LongType()),
+        T.StructField("hashes", T.ArrayType(T.LongType())),
     ])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _Pieces(batch.column(2))
-            marks: list[dict] = []
-            for cell in batch.column(3):
-                at: dict = {}
-                for mark in cell.as_py():
-                    at[mark["at"]] = mark["n"] if mark["n"] is not None else at.get(mark["at"])
-                marks.append(at)
-            wanted = [i for i, (d, at) in enumerate(zip(found.doc.tolist(), found.at.tolist())) if at in marks[d]]
-            counts = [marks[found.doc[i]][int(found.at[i])] for i in wanted]
-            hashes = [found.hashes[found.first[i] : found.first[i] + found.size[i]].view(np.int64) if n is not None else None for i, n in zip(wanted, counts)]
-            doc = pa.array(found.doc[wanted])
+            marks, doc = batch.column(3), np.arange(batch.num_rows)
+            mark_doc = np.repeat(doc, marks.value_lengths().to_numpy())
+            mark = marks.flatten()
+            # pieces are in order of text and place
+            wanted = np.searchsorted(_spot(found.doc, found.at), _spot(mark_doc, mark.field("at").to_numpy()))
+            size = found.size[wanted]
+            ends = np.cumsum(size)
+            windows = np.arange(ends[-1] if len(ends) else 0) + np.repeat(found.first[wanted] - (ends - size), size)
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            rows = pa.array(mark_doc)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(doc), batch.column(1).take(doc), pa.array(found.at[wanted].astype(np.int32)),
-                    pa.array(found.anchor[wanted].view(np.int64)), pa.array([found.text(i) for i in wanted], pa.string()),
-                    pa.array(counts, pa.int64()), pa.array(hashes, pa.list_(pa.int64())),
+                    batch.column(0).take(rows), batch.column(1).take(rows), mark.field("at").cast(pa.int32()),
+                    pa.array(found.anchor[wanted].view(np.int64)), pa.array(found.key[wanted].view(np.int64)),
+                    pa.array(map(found.text, wanted.tolist()), pa.string()), mark.field("n"),
+                    pa.ListArray.from_arrays(offsets, pa.array(found.hashes[windows].view(np.int64))),
                 ], names=schema.names,
             )
 
@@ -168,18 +176,23 @@ def _same_row(a: DataFrame, b: DataFrame, how: str, *more: str) -> DataFrame:
     return a.join(other, on, how).drop(*[f"_other_{c}" for c in ("id", "row", *more)])
 
 
-def _phrases(pieces: DataFrame) -> DataFrame:
-    """(id, row, at, anchor, text, offsets): pieces with confirmed windows at their first place."""
-    first = pieces.where("n is not null")
-    windows = first.select("anchor", "id", "row", "at", "n", F.posexplode("hashes").alias("offset", "hash"))
-    place = F.struct("id", "row", (F.col("at") + F.col("offset")).alias("start"), "at", "offset")
+def _confirmed(pieces: DataFrame) -> DataFrame:
+    """(id, row, at, anchor, key, text, offsets): the pieces, with the confirmed windows that have their first place in them."""
+    windows = pieces.select("anchor", "id", "row", "at", "n", F.posexplode("hashes").alias("offset", "hash"))
+    place = F.struct("id", "row", (F.col("at") + F.col("offset")).alias("start"), "offset")
     confirmed = windows.groupBy("anchor", "hash").agg(F.sum("n").alias("n"), F.min(place).alias("p")).where("n > 1")
-    offsets = confirmed.groupBy("anchor", "p.id", "p.row", "p.at").agg(F.sort_array(F.collect_list("p.offset")).alias("offsets"))
-    return _same_row(first.select("id", "row", "at", "anchor", "text"), offsets, "inner", "at", "anchor")
+    first = confirmed.select("anchor", "p.id", "p.row", (F.col("p.start") - F.col("p.offset")).alias("at"), "p.offset")
+    offsets = first.groupBy("anchor", "id", "row", "at").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+    return _same_row(pieces.select("id", "row", "at", "anchor", "key", "text"), offsets, "left", "at", "anchor")
 
 
 class _Automaton:
-    """The confirmed windows of a unit; a word is a letter of the automaton's alphabet."""
+    """The confirmed windows of a unit; a word is a letter of the automaton's alphabet.
+
+    Confirmed windows in a row share the words in their middle. One pattern for these stands
+    for all of them; around its matches the words are compared with those of the phrase, as far as
+    its windows reach. So a phrase costs the letters of one pattern, not of a pattern per window.
+    """
 
     def __init__(self) -> None:
         self.letters: dict[str, str] = {}
@@ -195,41 +208,87 @@ class _Automaton:
 
     def add(self, text: str, offsets: list[int], id_, row: int, at: int) -> None:
         spelled = "".join(map(self._letter, text.split(" ")))
-        for k in offsets:
-            self.found.add_word(spelled[k : k + WINDOW], (id_, row, at + k))
+        first = 0
+        for i, k in enumerate(offsets):
+            if i + 1 < len(offsets) and offsets[i + 1] == k + 1:
+                continue
+            low, more = offsets[first], k - offsets[first]
+            phrase = (spelled[low : k + WINDOW], more, (id_, row), at + low)
+            middle = spelled[k : low + WINDOW]
+            known = self.found.get(middle, None)
+            if known is None:
+                self.found.add_word(middle, [phrase])
+            else:
+                known.append(phrase)
+            first = i + 1
 
     def compile(self) -> None:
         self.found.make_automaton()
 
-    def repeats(self, text: str, id_, row: int, at: int) -> list[tuple[int, int]]:
-        """Words [from, to) that windows cover whose first place is another one."""
+    def matches(self, text: str) -> list[tuple[int, int, tuple, int]]:
+        """Windows (first, last, row, place): those from first to last stand in a row from a place on at first."""
         get = self.letters.get
         spelled = "".join([get(w, "\x01") for w in text.split(" ")])
-        out: list[list[int]] = []
-        for end, place in self.found.iter(spelled):
-            start = at + end - WINDOW + 1
-            if place[2] == start and place[1] == row and place[0] == id_:
-                continue
-            if out and start <= out[-1][1]:
-                out[-1][1] = start + WINDOW
+        out = []
+        for end, phrases in self.found.iter(spelled):
+            for words, more, row, place in phrases:
+                start = end + 1 - WINDOW  # of the phrase, whose pattern ends with its first window
+                low, high = 0, len(words)
+                if start < 0 or not spelled.startswith(words, start):
+                    low, high = more, WINDOW
+                    while low and start + low > 0 and words[low - 1] == spelled[start + low - 1]:
+                        low -= 1
+                    while high < len(words) and start + high < len(spelled) and words[high] == spelled[start + high]:
+                        high += 1
+                    if high - low < WINDOW:
+                        continue
+                out.append((start + low, start + high - WINDOW, row, place + low))
+        return out
+
+
+class _Spans:
+    """Lists of words [low, high), as columns."""
+
+    def __init__(self) -> None:
+        self.low: list[int] = []
+        self.high: list[int] = []
+        self.offsets = [0]
+
+    def add(self, windows: list[tuple[int, int]]) -> None:
+        """The words that windows from the first to the last of each pair cover."""
+        begin = len(self.low)
+        for first, last in sorted(windows):
+            if len(self.low) > begin and first <= self.high[-1]:
+                self.high[-1] = max(self.high[-1], last + WINDOW)
             else:
-                out.append([start, start + WINDOW])
-        return [(a, b) for a, b in out]
+                self.low.append(first)
+                self.high.append(last + WINDOW)
+        self.offsets.append(len(self.low))
+
+    def array(self) -> pa.ListArray:
+        struct = pa.StructArray.from_arrays([pa.array(self.low, pa.int32()), pa.array(self.high, pa.int32())], names=["low", "high"])
+        return pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), struct)
+
+
+_SPANS = T.ArrayType(T.StructType([T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())]))
 
 
 def _stream(units: DataFrame) -> DataFrame:
-    """(id, row, low, high): words to remove, from the phrases and pieces of each unit in this order."""
-    schema = T.StructType([
-        units.schema["id"], T.StructField("row", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()),
-    ])
+    """(anchor, key, id, row, at, own, others): the words of each piece to remove at its first place and at others.
+
+    A unit has its phrases, which have offsets, before its pieces. Words count from the start of the piece.
+    """
+    first = ["anchor", "key", "id", "row", "at"]
+    schema = T.StructType([*[units.schema[c] for c in first], T.StructField("own", _SPANS), T.StructField("others", _SPANS)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, automaton, ready = None, _Automaton(), False
         for batch in batches:
-            out: list[tuple] = []
+            hits, own, others = [], _Spans(), _Spans()
             cells = (batch.column(c).to_pylist() for c in ("unit", "id", "row", "at", "text", "offsets"))
-            for key, id_, row, at, text, offsets in zip(*cells):
+            for i, (key, id_, row, at, text, offsets) in enumerate(zip(*cells)):
                 if key != unit:
+                    automaton = None  # the old one goes before the new one grows
                     unit, automaton, ready = key, _Automaton(), False
                 if offsets is not None:
                     automaton.add(text, offsets, id_, row, at)
@@ -239,36 +298,41 @@ def _stream(units: DataFrame) -> DataFrame:
                 if not ready:
                     automaton.compile()
                     ready = True
-                out += [(id_, row, a, b) for a, b in automaton.repeats(text, id_, row, at)]
-            ids, rows, low, high = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.schema.field("id").type), pa.array(rows, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32())],
-                names=schema.names,
-            )
+                found = automaton.matches(text)
+                if found:
+                    hits.append(i)
+                    others.add([(a, b) for a, b, _, _ in found])
+                    # a match is the window's first place when it stands there in the same row
+                    own.add([(a, b) for a, b, where, place in found if where != (id_, row) or place != at + a])
+            columns = [batch.column(c).take(pa.array(hits, pa.int64())) for c in first]
+            yield pa.RecordBatch.from_arrays([*columns, own.array(), others.array()], names=schema.names)
 
-    return units.select("unit", "id", "row", "at", "text", "offsets").mapInArrow(work, schema)
+    return units.select("unit", *first, "text", "offsets").mapInArrow(work, schema)
 
 
-def _units(phrases: DataFrame, pieces: DataFrame, unit_phrases: int, unit_pieces: int, limit: int | None) -> DataFrame:
-    """Phrases and pieces dealt to units, the phrases of a unit before its pieces."""
+def _units(pieces: DataFrame, unit_phrases: int, unit_pieces: int, limit: int | None) -> DataFrame:
+    """Phrases, which are pieces with offsets, and all pieces dealt to units, the phrases of a unit first."""
+    phrases = pieces.where("offsets is not null")
     shards = max(1, -(-phrases.count() // unit_phrases))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
-    many = phrases.groupBy(shard).agg(F.count(F.lit(1)).alias("phrases"))
-    load = pieces.groupBy(shard).agg(F.count(F.lit(1)).alias("pieces")).join(many, "shard")
+    load = pieces.groupBy(shard).agg(F.count(F.lit(1)).alias("pieces"), F.count("offsets").alias("phrases")).where("phrases > 0")
     # twice the mean is no reason to cut an automaton in two
     parts = F.ceil(F.col("phrases") / (2 * unit_phrases))
     load = sized(load.select("shard", parts.alias("parts"), F.ceil(F.col("pieces") / unit_pieces).alias("copies")), limit)
-    own = ["id", "row", "at", "text"]
+    own = ["id", "row", "at", "anchor", "text"]
     mixed = F.xxhash64("id", "row", "at")
     dealt = lookup(phrases.select(shard, *own, "offsets"), load, ["shard"], "inner").select(
-        "shard", F.pmod(mixed, F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), *own, "offsets"
-    )
-    streamed = lookup(pieces.select(shard, *own), load, ["shard"], "inner").select(
-        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.pmod(mixed, F.col("copies")).alias("copy"), *own,
+        "shard", F.pmod(mixed, F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), *own,
+        F.lit(None).cast("long").alias("key"), "offsets",
+    )
+    streamed = lookup(pieces.select(shard, *own, "key"), load, ["shard"], "inner").select(
+        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.pmod(mixed, F.col("copies")).alias("copy"), *own, "key",
         F.lit(None).cast("array<int>").alias("offsets"),
     )
     rows = dealt.unionByName(streamed).withColumn("unit", F.concat_ws(" ", "shard", "part", "copy"))
-    return rows.repartition("unit").sortWithinPartitions("unit", F.col("offsets").isNull())
+    # by number, since the work of a unit is not in proportion to its bytes
+    units = load.df.agg(F.sum(F.col("parts") * F.col("copies"))).first()[0] or 1
+    return rows.repartition(min(units, MOST_TASKS), "unit").sortWithinPartitions("unit", F.col("offsets").isNull())
 
 
 def repeated_words(
@@ -282,20 +346,31 @@ def repeated_words(
     anchors = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     known = store(places.join(anchors, "anchor", "left_semi"))
     drop(places)
-    place = F.struct("id", "row", "at")
-    distinct = known.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p")).select("p.*", "n")
-    marks = known.select("id", "row", "at", F.lit(None).cast("long").alias("n")).unionByName(distinct)
+    first = F.min(F.struct("id", "row", "at")).alias("p")
+    marks = known.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("n"), first).select("p.*", "n")
     marks = store(marks.groupBy("id", "row").agg(F.collect_list(F.struct("at", "n")).alias("marks")))
-    drop(known)
-    pieces = store(_cut(_same_row(docs, marks, "inner").select("id", "row", "text", "marks")))
+    cut = store(_cut(_same_row(docs, marks, "inner").select("id", "row", "text", "marks")))
     drop(marks)
-    phrases = store(_phrases(pieces))
-    spans = _stream(_units(phrases, pieces.select("id", "row", "at", "anchor", "text"), unit_phrases, unit_pieces, limit))
-    found = store(spans.groupBy("id", "row").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
-    drop(phrases, pieces)
+    pieces = store(_confirmed(cut))
+    drop(cut)
+    matches = store(_stream(_units(pieces, unit_phrases, unit_pieces, limit)))
+    drop(pieces)
+    found = store(_removed(known, matches))
+    drop(known, matches)
     return found
 
 
+def _removed(places: DataFrame, matches: DataFrame) -> DataFrame:
+    """(id, row, spans): the words that the matches of pieces cover at all places of these."""
+    side = matches.withColumnsRenamed({c: f"_first_{c}" for c in ("id", "row", "at")})
+    joined = places.join(side, ["anchor", "key"])
+    is_first = F.col("id").eqNullSafe(F.col("_first_id")) & (F.col("row") == F.col("_first_row")) & (F.col("at") == F.col("_first_at"))
+    spans = F.when(is_first, F.col("own")).otherwise(F.col("others"))
+    moved = F.transform(spans, lambda x: F.struct((x["low"] + F.col("at")).alias("low"), (x["high"] + F.col("at")).alias("high")))
+    moved = joined.select("id", "row", moved.alias("spans")).where(F.size("spans") > 0)
+    return moved.groupBy("id", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
 def drop_repeats(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -329,14 +404,20 @@ def drop_repeats(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, gone, left, sums = [], [], [], []
-            for text, cell in zip(batch.column(1), batch.column(2)):
-                words = text.as_py().encode("utf-8", "replace").split()
+            spans = batch.column(2)
+            many = np.cumsum(np.concatenate([[0], spans.value_lengths().fill_null(0).to_numpy()])).tolist()
+            flat = spans.flatten()
+            low, high = (flat.field(c).to_pylist() for c in ("low", "high"))
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words = text.encode("utf-8", "replace").split()
                 sizes.append(len(words))
-                stay = np.ones(len(words), bool)
-                for span in cell.as_py() or ():
-                    stay[span["low"] : span["high"]] = False
-                gone.append(len(words) - int(stay.sum()))
-                kept = b" ".join([words[i] for i in np.flatnonzero(stay)] if gone[-1] else words)
+                if many[i] < many[i + 1]:
+                    stay = bytearray(b"\1") * len(words)
+                    for k in range(many[i], many[i + 1]):
+                        stay[low[k] : high[k]] = bytes(high[k] - low[k])
+                    words = [*compress(words, stay)]
+                gone.append(sizes[-1] - len(words))
+                kept = b" ".join(words)
                 if texts:
                     left.append(kept.decode("utf-8"))
                 if digests:

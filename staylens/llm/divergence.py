@@ -29,8 +29,8 @@ SCALE = 1_000_000_000
 PRIOR = 5
 LEAST_DOCS = 30
 LEADING = 50
-# Cells of the matrix of a shard, sources by terms.
-SHARD_CELLS = 250_000
+# Cells of the matrix of a shard, sources by terms; at least as many terms as sources.
+SHARD_CELLS = 40_000
 # Counts of a task are merged and sent when so many have gathered.
 HELD_ROWS = 400_000
 
@@ -191,7 +191,7 @@ def audit_sources(
     langs = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources")).join(langs, "lang", "left")
     langs = langs.select(
         "lang", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("total", F.lit(0)).alias("total"),
-        F.ceil(F.greatest(F.coalesce("kept", F.lit(0)), F.lit(1)) * F.col("sources") / shard_cells).alias("shards"),
+        F.ceil(F.greatest(F.coalesce("kept", F.lit(0)), F.lit(1)) / F.greatest(F.lit(shard_cells) / F.col("sources"), "sources")).alias("shards"),
     )
     langs = store(langs)
 

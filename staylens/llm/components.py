@@ -1,10 +1,13 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components by contraction: union-find without a shared memory.
 
-Union-find without a shared memory: every round hangs neighbours on smaller nodes until
-each component is a star around its smallest node. A round costs two aggregations with
-map-side partial minima and two joins whose other side has one row per node, so a node
-with a third of all edges never needs them in one task. Each round is stored; the number
-of rounds grows with the logarithm of the longest path.
+In a round every node hangs on its smallest neighbour, or on itself; chains of such links are
+shortened by pointer jumping until each hangs on a root, and edges between nodes become edges
+between their roots. At least half of the nodes that still have edges are gone after a
+round, and stars around small nodes, which is what near duplicates give, need one round.
+
+All joins are equality joins of stored tables one of which has a row per node, so adaptive
+execution can split a node with a third of all edges over many tasks; minima are combined
+before they are shuffled.
 """
 
 from __future__ import annotations
@@ -12,21 +15,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import store
+from staylens.llm.common import drop, store
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Hang every larger neighbour of a node on the smallest node around it."""
+def _roots(edges: DataFrame) -> DataFrame:
+    """(``a``, ``m``): each node of an edge with the root of its chain of smallest neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Hang the smaller neighbours of a node, and the node itself, on the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    now = store(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+    while True:
+        further = now.select(F.col("a").alias("m"), F.col("m").alias("further"))
+        moves = now.join(further.where("further != m"), "m").select("a", "further")
+        moves = store(moves)
+        if moves.isEmpty():
+            drop(moves)
+            return now
+        jumped = store(now.join(moves, "a", "left").select("a", F.coalesce("further", "m").alias("m")))
+        drop(now, moves)
+        now = jumped
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -34,16 +39,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     ``component`` is the smallest node that can be reached. Edges with a missing end and
     loops are ignored; repeated edges and both directions are fine. Nodes that are the
-    smallest of their component, or have no edge, have no row.
+    smallest of their component, or have no edge, have no row. The result is a stored table.
     """
     pair = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     now = store(pair.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b"))).distinct())
-    size = None
+    labels = None
     while True:
-        now = store(_small_star(_large_star(now)))
-        # a star forest has each node under one parent, and no parent that has a parent;
-        # both steps keep it as it is
-        row = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (row["n"], row["h"]) == size:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        size = (row["n"], row["h"])
+        roots = _roots(now)
+        if labels is None:
+            labels = store(roots.where("a != m").select(F.col("a").alias("node"), F.col("m").alias("component")))
+        else:
+            above = roots.select(F.col("a").alias("component"), F.col("m").alias("_m"))
+            # a root so far may hang on another one now: it gets a row of its own
+            moved = labels.join(above, "component", "left").select("node", F.coalesce("_m", "component").alias("component"))
+            new = roots.where("a != m").select(F.col("a").alias("node"), F.col("m").alias("component"))
+            joined = store(moved.unionByName(new.join(labels.select("node"), "node", "left_anti")))
+            drop(labels)
+            labels = joined
+        left = now.join(roots.withColumnRenamed("m", "ma"), "a").join(roots.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b")
+        left = store(left.where("ma != mb").select(F.greatest("ma", "mb").alias("a"), F.least("ma", "mb").alias("b")).distinct())
+        drop(now, roots)
+        if left.isEmpty():
+            drop(left)
+            return labels
+        now = left

@@ -6,12 +6,12 @@ no comparison. Equal sets are one node. Nodes that share a band meet in a bucket
 
 1. Every node is verified against one node: the smallest that leads any of its buckets.
 2. It is verified against the other leaders of its buckets that are still elsewhere.
-3. In buckets that still hold several components, blocks of members are judged by the
-   likelihood estimate: first the likeliest pairs that would join the components are
-   verified, then, inside the tasks, all pairs that the estimate leaves open.
+3. Members of buckets that still hold several components are paired by their rarest shingles;
+   pairs that the likelihood estimate leaves open are verified.
 
-So a group of copies costs about one verification a copy, and no pair of different
-components that meets in a bucket goes unjudged.
+So a group of copies costs about one verification a copy, texts that share a passage and are
+otherwise different make no pairs, and no similar pair of different components that meets
+in a bucket goes unjudged.
 """
 
 from __future__ import annotations
@@ -25,14 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staylens.llm.common import bound_batches, lookup, sized, store, text_or_empty
+from staylens.llm.common import bound_batches, drop, lookup, sized, store, text_or_empty
 from staylens.llm.components import components
+from staylens.llm.rare_tokens import rare_pairs
 from staylens.llm.shingles import REGISTERS, jaccard_estimate, registers, set_key, shingle_set
 
 BAND_ROWS = 4
 PERCENT = 75
-BLOCK = 256
-BLOCK_SHINGLES = 500_000
 # A pair is left unverified only when its estimate lies five standard deviations below the threshold.
 SLACK = 5.0
 
@@ -165,6 +164,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # rows of a node all have its set, but for rows that share an id and not a text
     sets = _sets(lookup(source.where("id is not null"), wanted, ["id"], "left_semi")).withColumnRenamed("id", "node")
     sets = store(sets.where(F.size("shingles") > 0))
+    drop(wanted.df)
     judge = _Judge(nodes, sets, percent)
 
     heads = meets.where("head != node").select(F.col("node").alias("a"), F.col("head").alias("b"))
@@ -172,158 +172,36 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = components(links)
 
     apart = _label(_label(heads.distinct(), labels, "b", "cb"), labels, "a", "ca").where("ca != cb")
-    links = store(links.unionByName(judge.linked(judge.likely(apart.select("a", "b")))))
-    labels = components(links)
-
-    members = meets.drop("head")
-    likely = _likeliest(_met(_label(members, labels, "node", "c"), judge), judge)
-    links = store(links.unionByName(judge.linked(likely)))
-    labels = components(links)
-    open_ones = store(_undecided(_met(_label(members, labels, "node", "c"), judge), judge))
-    if open_ones.limit(1).count():
-        links = store(links.unionByName(_verified(_met(_label(open_ones, labels, "node", "c"), judge, sets), judge)))
+    more = store(links.unionByName(judge.linked(judge.likely(apart.select("a", "b")))))
+    drop(links, labels)
+    labels = components(more)
+
+    members = _label(meets.drop("head"), labels, "node", "c")
+    several = members.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("bucket")
+    open_ones = store(members.join(several, "bucket", "left_semi").select("node", "c").distinct())
+    drop(meets)
+    links = more
+    if not open_ones.isEmpty():
+        # rows that share an id and not a text have several sets
+        one = F.struct("node", F.xxhash64("shingles").alias("set")).alias("node")
+        open_sets = sets.join(open_ones, "node").select(one, "c", "shingles").dropDuplicates(["node"])
+        pairs = rare_pairs(open_sets, percent).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).where("a != b").distinct()
+        found = judge.linked(judge.likely(pairs))
+        links = store(more.unionByName(found))
+        drop(more, labels)
         labels = components(links)
 
     by_key = nodes.select("key", F.col("node")).join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    found = lookup(sketches, sized(by_key, limit), ["key"], "left")
+    by_key = sized(by_key, limit)
+    found = lookup(sketches.select("id", "n", "key"), by_key, ["key"], "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
-    return found.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
+    result = store(
+        found.select(
+            F.col("id").alias(id_col),
+            F.col("n").alias("n_shingles"),
+            component.alias("component_id"),
+            F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
+        )
     )
-
-
-def _met(members: DataFrame, judge: _Judge, sets: DataFrame | None = None) -> DataFrame:
-    """Rows (bucket, ask, many): two blocks of members of a bucket of several components.
-
-    ``members`` has (bucket, node, c). The members of a bucket's largest component do not
-    ask; buckets of one component do not occur. A block holds about ``BLOCK`` members and
-    not many more than ``BLOCK_SHINGLES`` shingles, so a passage that very many texts share
-    fills a bucket whose pairs are judged in tasks and never become rows.
-    """
-    known = members.join(judge.nodes.select("node", "n", "regs"), "node")
-    counts = known.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
-    largest = counts.groupBy("bucket").agg(
-        F.max_by("c", F.struct("size", "c")).alias("main"), F.sum("size").alias("size"), F.sum("weight").alias("weight"),
-        F.count(F.lit(1)).alias("several"),
-    )
-    mixed = known.join(largest.where("several > 1").drop("several"), "bucket")
-    parts = F.col("size") / BLOCK
-    columns = ["node", "c", "n", "regs"]
-    if sets is not None:
-        mixed = mixed.join(sets, "node")
-        parts = F.greatest(parts, F.col("weight") / BLOCK_SHINGLES)
-        columns.append("shingles")
-    mixed = mixed.select(
-        "bucket",
-        F.pmod(F.xxhash64("node"), F.ceil(parts)).alias("block"),
-        F.struct(*columns, (F.col("c") == F.col("main")).alias("main")).alias("one"),
-    )
-    blocks = store(mixed.groupBy("bucket", "block").agg(F.collect_list("one").alias("many")))
-    asking = blocks.select("bucket", F.filter("many", lambda x: ~x["main"]).alias("ask")).where(F.size("ask") > 0)
-    return asking.join(blocks.select("bucket", "many"), "bucket")
-
-
-class _Block:
-    """The members of one block as arrays."""
-
-    def __init__(self, cell: pa.ListScalar) -> None:
-        rows = cell.values
-        self.nodes, self.parts, self.sizes, self.main = (np.array(rows.field(f).to_pylist()) for f in ("node", "c", "n", "main"))
-        self.regs = np.frombuffer(b"".join(rows.field("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        if rows.type.get_field_index("shingles") >= 0:
-            sets = rows.field("shingles")
-            self.shingles = np.split(sets.flatten().to_numpy(), np.cumsum(sets.value_lengths().to_numpy())[:-1])
-
-
-def _candidates(ask: _Block, many: _Block, share: float, floor: float) -> list[tuple[float, int, int]]:
-    """(estimate, i, k), likeliest first, for pairs of different components that the estimate leaves open."""
-    found = []
-    for i, node in enumerate(ask.nodes):
-        # cheap bounds first: another component, sizes within reach, enough equal registers
-        keep = (many.parts != ask.parts[i]) & (many.main | (many.nodes < node))
-        keep &= np.minimum(many.sizes, ask.sizes[i]) >= share * np.maximum(many.sizes, ask.sizes[i])
-        at = np.flatnonzero(keep)
-        at = at[(many.regs[at] == ask.regs[i]).sum(1) >= floor * REGISTERS]
-        if len(at):
-            mine = np.repeat(ask.regs[i][None, :], len(at), 0)
-            likely = jaccard_estimate(mine, many.regs[at], np.full(len(at), float(ask.sizes[i])), many.sizes[at].astype(float))
-            found += [(float(j), i, int(k)) for j, k in zip(likely, at) if j >= floor]
-    return sorted(found, key=lambda f: -f[0])
-
-
-def _forest(ask: _Block, many: _Block, found: list[tuple[float, int, int]], percent: int | None) -> Iterator[tuple[int, int]]:
-    """The candidates that join components of two blocks, each joined once; with ``percent`` only verified ones."""
-    parent: dict = {}
-
-    def root(x):
-        while parent.get(x, x) != x:
-            x = parent[x]
-        return x
-
-    for _, i, k in found:
-        x, y = root(ask.parts[i]), root(many.parts[k])
-        if x == y:
-            continue
-        if percent is not None:
-            mine, other = ask.shingles[i], many.shingles[k]
-            both = len(np.intersect1d(mine, other, assume_unique=True))
-            if 100 * both < percent * (len(mine) + len(other) - both):
-                continue
-        parent[x] = y
-        yield i, k
-
-
-def _pairs(met: DataFrame, judge: _Judge, percent: int | None) -> DataFrame:
-    """(a, b): a spanning forest of the candidates of every two blocks; its size follows the members."""
-    kind = judge.nodes.schema["node"].dataType
-    share, floor = judge.percent / 100, judge.floor
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for x, y in zip(batch.column(0), batch.column(1)):
-                ask, many = _Block(x), _Block(y)
-                for i, k in _forest(ask, many, _candidates(ask, many, share, floor), percent):
-                    a.append(ask.nodes[i].item())
-                    b.append(many.nodes[k].item())
-            arrow = batch.schema.field(0).type.value_type.field("node").type
-            yield pa.RecordBatch.from_arrays([pa.array(a, arrow), pa.array(b, arrow)], names=["a", "b"])
-
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    return met.select("ask", "many").mapInArrow(work, schema).distinct()
-
-
-def _likeliest(met: DataFrame, judge: _Judge) -> DataFrame:
-    """(a, b): the likeliest pairs that would join the components, to be verified."""
-    return _pairs(met, judge, None)
-
-
-def _verified(met: DataFrame, judge: _Judge) -> DataFrame:
-    """(a, b): links that join all components that a link joins; all candidates are verified in the task."""
-    return _pairs(met, judge, judge.percent)
-
-
-def _undecided(met: DataFrame, judge: _Judge) -> DataFrame:
-    """(bucket, node): members with a candidate of another component, in the first bucket they share."""
-    kind = judge.nodes.schema["node"].dataType
-    share, floor = judge.percent / 100, judge.floor
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buckets, nodes = [], []
-            for bucket, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                ask, many = _Block(x), _Block(y)
-                mine, other = _codes(ask.regs), _codes(many.regs)
-                # a pair that meets in several buckets is left to the first of them
-                found = [f for f in _candidates(ask, many, share, floor) if mine[f[1]][np.argmax(mine[f[1]] == other[f[2]])] == bucket]
-                open_ones = {ask.nodes[i].item() for _, i, _ in found} | {many.nodes[k].item() for _, _, k in found}
-                buckets += [bucket] * len(open_ones)
-                nodes += open_ones
-            arrow = batch.schema.field(1).type.value_type.field("node").type
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(nodes, arrow)], names=["bucket", "node"])
-
-    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", kind)])
-    return met.select("bucket", "ask", "many").mapInArrow(work, schema).distinct()
+    drop(sketches, nodes, sets, open_ones, links, labels, by_key.df)
+    return result

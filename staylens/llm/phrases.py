@@ -2,7 +2,7 @@
 
 A window is ``WINDOW`` consecutive words of one text. Every window has an anchor: the gram of
 ``GRAM`` words in it with the least hash. Neighbouring windows mostly share their anchor;
-such a piece of text is what is counted and shuffled, about one row for six words.
+such a piece of text is what is counted and shuffled, about one row for seven words.
 
 1. Anchors are counted. A window that recurs has an anchor that recurs, so pieces with any
    other anchor are done with.
@@ -24,20 +24,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain, compress
+from itertools import chain, compress, pairwise
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staylens.llm.common import bound_batches, drop, lookup, sized, store, text_or_empty
+from staylens.llm.common import bound_batches, drop, lookup, sized, store, text_or_empty, tidy
 
 WINDOW = 20
-GRAM = 8
+GRAM = 6
+# Bytes of text whose words a task holds at a time, unless one text has more.
+SLICE_BYTES = 2 * 1024 * 1024
 # Phrases of one automaton, and pieces that one task streams through it.
 UNIT_PHRASES = 8_192
 UNIT_PIECES = 100_000
@@ -101,8 +104,11 @@ class _Pieces:
         self.doc = text[self.first]
         self.at = place[self.first] - (ends - counts)[self.doc]
         self.anchor = gram[spot[self.first]]
-        # three grams cover a window
-        self.hashes = _mix(_mix(gram[place]) ^ _mix(gram[place + GRAM] + _ODD) ^ gram[place + WINDOW - GRAM])
+        # grams from several places cover a window
+        hashes = _mix(gram[place])  # mixed, or equal grams would cancel out
+        for j in [*range(GRAM, WINDOW - GRAM, GRAM), WINDOW - GRAM]:
+            hashes = _mix(hashes ^ gram[place + j])
+        self.hashes = hashes
         self.key = np.add.reduceat(_mix(self.hashes), self.first) ^ self.size.astype(np.uint64)
 
     def text(self, i: int) -> str:
@@ -110,6 +116,15 @@ class _Pieces:
         return b" ".join(self.words[self.doc[i]][at : at + self.size[i] + WINDOW - 1]).decode("utf-8")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of (id, row, text, ...) in slices of so many bytes of text."""
+    for batch in batches:
+        upto = np.cumsum(pc.binary_length(batch.column(2)).to_numpy().astype(np.int64)) // SLICE_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), batch.num_rows]
+        for low, high in pairwise(edges):
+            yield batch.slice(low, high - low)
+
+
 def _places(docs: DataFrame) -> DataFrame:
     """(id, row, anchor, key, at): a row per piece, from (id, row, text)."""
     schema = T.StructType([
@@ -118,7 +133,7 @@ def _places(docs: DataFrame) -> DataFrame:
     ])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = _Pieces(batch.column(2))
             doc = pa.array(found.doc)
             numbers = [pa.array(found.anchor.view(np.int64)), pa.array(found.key.view(np.int64)), pa.array(found.at.astype(np.int32))]
@@ -143,7 +158,7 @@ def _cut(marked: DataFrame) -> DataFrame:
     ])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = _Pieces(batch.column(2))
             marks, doc = batch.column(3), np.arange(batch.num_rows)
             mark_doc = np.repeat(doc, marks.value_lengths().to_numpy())
@@ -343,9 +358,10 @@ def repeated_words(
     The table is stored.
     """
     places = store(_places(docs))
-    anchors = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    anchors = store(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    tidy(docs.sparkSession)
     known = store(places.join(anchors, "anchor", "left_semi"))
-    drop(places)
+    drop(places, anchors)
     first = F.min(F.struct("id", "row", "at")).alias("p")
     marks = known.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("n"), first).select("p.*", "n")
     marks = store(marks.groupBy("id", "row").agg(F.collect_list(F.struct("at", "n")).alias("marks")))

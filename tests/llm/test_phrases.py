@@ -45,6 +45,9 @@ def corpus():
     rows += [(400, "again and " * 60), (401, "x " * 45), (402, "x " * 19), (403, None), (404, ""), (405, " \n\t"), (None, copy), (406, "É " * 30 + "é " * 30)]
     rows += [(407, " ".join(fresh(20_000))), (408, "\x01 \x02 " * 15)]
     rows += [(409, rows[-2][1] + " " + copy)]
+    # windows that begin with repeats of another word each and end alike
+    tail = " ".join(fresh(30))
+    rows += [(410 + i, f"{x} " * 14 + tail) for i, x in enumerate("xyzxyzxq")]
     return rows
 
 

@@ -79,18 +79,18 @@ def materialize_sized(df: DataFrame, limit: int | None = None) -> SizedTable:
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], parts: int) -> DataFrame | None:
-    """(_key, _copies): hashes of the keys that hold more than a fair share of the rows of ``df``.
+    """(_hot_key, _hot_copies): hashes of the keys that hold more than a fair share of the rows of ``df``.
 
     A share is the rows over ``parts``; a key gets a copy per share it holds. Found by one
     mergeable sketch of frequent items in one scan of the key columns, so at most ``HOT_KEYS``
     numbers leave the tasks. None where no key is hot.
     """
     key = F.xxhash64(*[F.col(f"`{c}`") for c in on])
-    sketch = F.expr(f"approx_top_k(_key, {HOT_KEYS}, {SKETCH_ITEMS})")
-    found = df.select(key.alias("_key")).agg(F.count(F.lit(1)).alias("n"), sketch.alias("top")).first()
+    sketch = F.expr(f"approx_top_k(_hot_key, {HOT_KEYS}, {SKETCH_ITEMS})")
+    found = df.select(key.alias("_hot_key")).agg(F.count(F.lit(1)).alias("n"), sketch.alias("top")).first()
     fair = max(1, found["n"] // parts)
     hot = [(x["item"], -(-x["count"] // fair)) for x in found["top"] or [] if x["count"] > fair]
-    return df.sparkSession.createDataFrame(hot, "_key long, _copies long") if hot else None
+    return df.sparkSession.createDataFrame(hot, "_hot_key long, _hot_copies long") if hot else None
 
 
 def join_sized(
@@ -119,12 +119,12 @@ def join_sized(
     if hot is None:
         return df.join(side.df, on, how)
     key = F.xxhash64(*[F.col(f"`{c}`") for c in on])
-    copies = F.coalesce("_copies", F.lit(1))
+    copies = F.coalesce("_hot_copies", F.lit(1))
     draw = F.pmod(F.xxhash64(F.lit("copy"), *[F.col(f"`{c}`") for c in spread]), copies)
 
     def marked(table: DataFrame) -> DataFrame:
-        return table.withColumn("_key", key).join(F.broadcast(hot), "_key", "left")  # at most HOT_KEYS rows
+        return table.withColumn("_hot_key", key).join(F.broadcast(hot), "_hot_key", "left")  # at most HOT_KEYS rows
 
-    salted = marked(df).withColumn("_salt", draw).drop("_key", "_copies")
-    spare = marked(side.df).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("_key", "_copies")
-    return salted.join(spare, [*on, "_salt"], how).drop("_salt")
+    salted = marked(df).withColumn("_hot_salt", draw).drop("_hot_key", "_hot_copies")
+    spare = marked(side.df).withColumn("_hot_salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("_hot_key", "_hot_copies")
+    return salted.join(spare, [*on, "_hot_salt"], how).drop("_hot_salt")

@@ -27,7 +27,7 @@ def skewed(spark):
 
 
 def test_sketch_finds_the_hot_keys_only(skewed):
-    hot = {r["_key"]: r["_copies"] for r in runtime.hot_keys(skewed, ["a key"], 16).collect()}
+    hot = {r["_hot_key"]: r["_hot_copies"] for r in runtime.hot_keys(skewed, ["a key"], 16).collect()}
     names = {r["h"]: r["a key"] for r in skewed.select("a key", F.xxhash64("a key").alias("h")).distinct().collect()}
     assert {names[h]: n for h, n in hot.items()} == {"hot": 6, "warm": 2}
     assert runtime.hot_keys(skewed.where("id < 20"), ["id"], 4) is None

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from staylens.llm.common import drop, store
+
 
 def _ceil(over: Column, under: int) -> Column:
     return F.floor((over + (under - 1)) / under).cast("int")
@@ -24,6 +26,7 @@ def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     where a token is shared by several components, those of the largest one are paired with the
     others only. Every pair of nodes of different components whose sets have a Jaccard
     similarity of ``percent`` or more is among them. Nodes are distinct, sets have no repeats.
+    The result is stored.
     """
     n = F.size("shingles")
     tokens = sets.select("node", F.explode("shingles").alias("token"))
@@ -36,15 +39,18 @@ def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     indexing = F.col("n") - _ceil(F.col("n") * (2 * percent), 100 + percent) + 1 - alone
     first = known.withColumns({"probing": probing, "indexing": indexing}).where("probing > 0")
     first = first.select("node", "c", "n", "indexing", F.posexplode(F.slice("shared", F.lit(1), F.col("probing"))).alias("at", "x"))
-    first = first.select(F.col("x.token").alias("token"), "node", "c", "n", (F.col("at") < F.col("indexing")).alias("early"))
+    first = store(first.select(F.col("x.token").alias("token"), "node", "c", "n", (F.col("at") < F.col("indexing")).alias("early")))
 
     counts = first.groupBy("token", "c").agg(F.count(F.lit(1)).alias("size"))
     mains = counts.groupBy("token").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count(F.lit(1)).alias("several"))
     mains = mains.where("several > 1").select("token", "main")
-    meets = first.join(mains, "token")
+    meets = store(first.join(mains, "token"))
+    drop(first)
     asking = meets.where("c != main").select("token", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("early").alias("ea"))
     others = meets.select("token", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("early").alias("eb"), "main")
     met = asking.join(others, "token").where("ca != cb and (cb = main or a > b)")
     # the smaller set must have the token among its fewer early ones
     met = met.where("(na >= nb and eb) or (nb >= na and ea)").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return met.select("a", "b").distinct()
+    pairs = store(met.select("a", "b").distinct())
+    drop(meets)
+    return pairs

@@ -192,13 +192,12 @@ def _same_row(a: DataFrame, b: DataFrame, how: str, *more: str) -> DataFrame:
 
 
 def _confirmed(pieces: DataFrame) -> DataFrame:
-    """(id, row, at, anchor, key, text, offsets): the pieces, with the confirmed windows that have their first place in them."""
+    """(anchor, id, row, at, offsets): pieces in which confirmed windows have their first place, and where these start."""
     windows = pieces.select("anchor", "id", "row", "at", "n", F.posexplode("hashes").alias("offset", "hash"))
     place = F.struct("id", "row", (F.col("at") + F.col("offset")).alias("start"), "offset")
     confirmed = windows.groupBy("anchor", "hash").agg(F.sum("n").alias("n"), F.min(place).alias("p")).where("n > 1")
     first = confirmed.select("anchor", "p.id", "p.row", (F.col("p.start") - F.col("p.offset")).alias("at"), "p.offset")
-    offsets = first.groupBy("anchor", "id", "row", "at").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
-    return _same_row(pieces.select("id", "row", "at", "anchor", "key", "text"), offsets, "left", "at", "anchor")
+    return first.groupBy("anchor", "id", "row", "at").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
 
 
 class _Automaton:
@@ -344,7 +343,7 @@ def _units(pieces: DataFrame, unit_phrases: int, unit_pieces: int, limit: int |
         "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.pmod(mixed, F.col("copies")).alias("copy"), *own, "key",
         F.lit(None).cast("array<int>").alias("offsets"),
     )
-    rows = dealt.unionByName(streamed).withColumn("unit", F.concat_ws(" ", "shard", "part", "copy"))
+    rows = dealt.unionByName(streamed).withColumn("unit", F.xxhash64("shard", "part", "copy"))
     # by number, since the work of a unit is not in proportion to its bytes
     units = load.df.agg(F.sum(F.col("parts") * F.col("copies"))).first()[0] or 1
     return rows.repartition(min(units, MOST_TASKS), "unit").sortWithinPartitions("unit", F.col("offsets").isNull())
@@ -367,8 +366,11 @@ def repeated_words(
     marks = store(marks.groupBy("id", "row").agg(F.collect_list(F.struct("at", "n")).alias("marks")))
     cut = store(_cut(_same_row(docs, marks, "inner").select("id", "row", "text", "marks")))
     drop(marks)
-    pieces = store(_confirmed(cut))
-    drop(cut)
+    offsets = store(_confirmed(cut))
+    tidy(docs.sparkSession)
+    # phrases are the pieces with offsets
+    pieces = store(_same_row(cut.select("id", "row", "at", "anchor", "key", "text"), offsets, "left", "at", "anchor"))
+    drop(cut, offsets)
     matches = store(_stream(_units(pieces, unit_phrases, unit_pieces, limit)))
     drop(pieces)
     found = store(_removed(known, matches))

@@ -70,7 +70,9 @@ class Flattener:
         self._attach(part, IMAGE, tokens)
 
     def visit_audio(self, part: dict) -> None:
-        self._attach(part, AUDIO, math.ceil((part["seconds"] or 0.0) * AUDIO_PER_SECOND))
+        seconds = part["seconds"] or 0.0
+        # a length that is no number, or endless, is unknown
+        self._attach(part, AUDIO, math.ceil(seconds * AUDIO_PER_SECOND) if math.isfinite(seconds) else 0)
 
     def visit_document(self, part: dict) -> None:
         self._attach(part, DOCUMENT, (part["pages"] or 0) * TEXT_PER_PAGE)

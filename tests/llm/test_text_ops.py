@@ -146,6 +146,34 @@ def test_decontaminate_against_brute_force(spark, limit):
     assert {r["doc_id"] for r in found if r["contaminated"]} == {1, 2, 3, 5, 9}
 
 
+@pytest.mark.parametrize("every", [5, 10])
+def test_decontaminate_finds_items_of_every_length(spark, every):
+    r = random.Random(every)
+    items, docs = [], []
+    for k in range(160):
+        item = words(5_000 + k, 5 + k % 20)
+        items.append((k, " ".join(item)))
+        text = [w if r.randrange(every) else f"z{k}q{i}" for i, w in enumerate(item)]
+        docs.append((k, " ".join([*words(9_000 + k, 6), *text, *words(8_000 + k, 6)])))
+    made = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(x["doc_id"], i) for x in decontaminate(*made).collect() for i in x["item_ids"]}
+    want = brute.leaks(docs, items)
+    assert found <= want and {p for p in want if p[0] % 20 < 11} <= found
+    assert len(found) >= 0.9 * len(want) > 50
+
+
+def test_clashing_columns(spark):
+    names = ("lines_removed", "_gone", "_first", "first_ids", "_items", "_most", "_r1", "_r2", "_own", "contaminated", "most_matches", "id")
+    rows = [(1, "The first line of this page is here\nalpha beta gamma delta epsilon y"), (2, "the first line of this page is here"), (3, None)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in names})
+    found = {x["doc_id"]: x for x in dedup_lines(made).collect()}
+    assert found[2]["text"] == "" and found[2]["lines_removed"] == 1 and found[2]["first_ids"] == [1] and found[1]["_r1"] == "_r1"
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = {x["doc_id"]: x for x in decontaminate(made, items).collect()}
+    assert found[1]["contaminated"] is True and found[1]["item_ids"] == [2] and found[3]["contaminated"] is False
+    assert found[1]["_r2"] == "_r2" and found[1]["lines_removed"] == "lines_removed" and "contaminated" in found[1].asDict()
+
+
 def test_native_plans_have_no_python(spark, docs):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     for made in (exact_dedup(docs), decontaminate(docs, items), dedup_lines(docs)):

@@ -82,3 +82,45 @@ def test_whole_plan(table):
     total = result.confusion.agg(F.sum("n")).first()[0]
     assert total == result.search.predictions.count()
     assert {r["class"] for r in result.report.collect()} >= {"High", "Low", "Medium", "accuracy"}
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Few distinct rows, many of each, a class that no row of a vector decides; a key that clashes with no column."""
+    made = spark.range(3000).selectExpr(
+        "id", "cast(id % 5 as double) x", "cast(id % 3 as double) z", "case when hash(id) % 7 = 0 then 'odd' when id % 5 < 2 then 'low' else 'high' end y"
+    )
+    return models.prepare(made, "id", "y", ["x", "z"])
+
+
+@pytest.mark.parametrize("family", [models.tree(), models.tree(balanced=False), models.boosted(rounds=3)], ids=["tree", "plain", "boosted"])
+def test_groups_give_the_model_of_their_rows(repeated, family):
+    assert family.groups and not models.forest().groups and not models.tree(min_instances=5).groups
+    few = models.grouped(repeated.train)
+    assert few.count() < 50 and few.agg(F.sum("_copies")).first()[0] == repeated.train.count()
+    rows = family.fit(repeated.train, 3, 3).transform(repeated.test).select("id", "prediction")
+    found = models.fit_depth(repeated, family, 3).transform(repeated.test).select("id", "prediction")
+    assert sorted(found.collect()) == sorted(rows.collect())
+    sweep = models.depth_sweep(repeated, family, [3]).first()
+    right = rows.join(repeated.test, "id").where("prediction = label_index").count()
+    assert sweep["test_accuracy"] == pytest.approx(right / repeated.test.count())
+
+
+@pytest.mark.parametrize("family", [models.tree(), models.forest(num_trees=3)], ids=lambda f: f.name)
+def test_depths_that_stop_growing_share_a_fit(repeated, family):
+    asked = []
+
+    def fit(rows, depth, classes):
+        asked.append(depth)
+        return family.fit(rows, depth, classes)
+
+    counted = models.TreeFamily(family.name, fit, family.balanced, family.groups)
+    depths = [1, 2, 9, 10, 11, 12, 13, 14, 15]
+    sweep = models.depth_sweep(repeated, counted, depths).collect()
+    assert [r["depth"] for r in sweep] == depths and len(set(asked)) == len(asked) < len(depths)
+    one_by_one = [models.depth_sweep(repeated, family, [d]).first() for d in (1, 2, 12)]
+    assert [sweep[i]["test_accuracy"] for i in (0, 1, 5)] == [r["test_accuracy"] for r in one_by_one]
+    asked.clear()
+    scores = models.cv_scores(repeated, counted, [9, 10, 11, 12], folds=3).collect()
+    assert sorted(asked) == [9] * 3 + [12] * 3 and len({r["mean_accuracy"] for r in scores}) == 1
+    assert models.cv_scores(repeated, family, [10], folds=3).first()["mean_accuracy"] == scores[1]["mean_accuracy"]

@@ -122,6 +122,20 @@ def test_line_dedup_against_brute_force(spark, limit):
     assert found[6]["text"] is None and found[2]["first_ids"] == [1] and found[5]["lines_removed"] == 2
 
 
+def test_line_dedup_looks_at_every_position(spark):
+    """Two edits inside words leave all but one shingle that start at words; lines of long words that differ
+    in one character share most positions, and hardly any that start at words."""
+    long_words = "".join(words(31, 30))[:220]
+    parted = " ".join(long_words[i:i + 20] for i in range(0, 220, 20))
+    shifted = "z" + parted.replace(" ", "", 1)
+    rows = [(1, parted), (2, shifted), (3, "y" * 16), (4, "y" * 40), (5, " ".join(words(77, 30)))]
+    every = {i: {t[k:k + 16] for k in range(len(t) - 15)} for i, t in rows}
+    at_words = {i: set(brute.SHINGLE.findall(t)) for i, t in rows}
+    assert brute.similar(every[1], every[2]) and not brute.similar(at_words[1], at_words[2])
+    found = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: parted, 2: "", 3: "y" * 16, 4: "", 5: rows[4][1]}
+
+
 def test_line_dedup_on_documents(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60").select("doc_id", "text").collect()]
     found = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -14,7 +14,7 @@ from staylens.operators.distribution import box_values, correlation_matrix, hist
 from staylens.operators.profile import describe, describe_values, duplicate_count, missing_percent, missing_summary
 from staylens.operators.quantiles import value_table
 from staylens.operators.stats import area_extremes, area_profile, mean_by, rating_bands, subset_profile, top_bottom, value_counts
-from staylens.runtime import materialize
+from staylens.runtime import materialize_columns
 
 # The columns of a listing-review table that the steps below use.
 RATING_COLUMNS = (
@@ -103,9 +103,9 @@ def explore(
     # a column that the table lacks is an error, wherever it would be read
     wanted = list(dict.fromkeys([*c.explored, *c.required, c.host]))
     priced = filter_min(coerce_numeric(drop_columns(df, c.unused), [c.price]), c.price, 0)
-    priced = materialize(priced.select(*[column(x) for x in wanted]))
+    priced = materialize_columns(priced.select(*[column(x) for x in wanted]))
     free = subset_profile(priced, column(c.price) == 0, c.host, [c.neighbourhood, c.property_type], c.ratings, k)
-    cleaned = materialize(drop_missing(priced, [*c.ratings, *c.required]).select(*[column(x) for x in c.explored]))
+    cleaned = materialize_columns(drop_missing(priced, [*c.ratings, *c.required]).select(*[column(x) for x in c.explored]))
     by_room, by_property, by_neighbourhood = (
         value_table(cleaned, [c.rating], [key]) for key in (c.room_type, c.property_type, c.neighbourhood)
     )

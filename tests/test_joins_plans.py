@@ -139,3 +139,10 @@ def test_irregular_forms_replace_the_endings(spark):
     assert dict(rows(words.noun_lemmas(one("axes"), nouns)))["axes"] == "axe"
 
 
+
+
+def test_exploration_reads_columns_not_rows(spark):
+    """Each result reads the columns it needs of the stored rows, as a checkpoint of whole rows would not let it."""
+    found = plan.explore(reviews(spark), COLUMNS, k=1)["by_superhost"]
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in text and "ExistingRDD" not in text and COLUMNS.price not in text.partition("ReadSchema")[2]

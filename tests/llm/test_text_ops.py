@@ -123,8 +123,7 @@ def test_line_dedup_against_brute_force(spark, limit):
 
 
 def test_line_dedup_looks_at_every_position(spark):
-    """Two edits inside words leave all but one shingle that start at words; lines of long words that differ
-    in one character share most positions, and hardly any that start at words."""
+    """Lines whose words are cut elsewhere share most positions, and too few that start at words."""
     long_words = "".join(words(31, 30))[:220]
     parted = " ".join(long_words[i:i + 20] for i in range(0, 220, 20))
     shifted = "z" + parted.replace(" ", "", 1)

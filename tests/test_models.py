@@ -86,7 +86,7 @@ def test_whole_plan(table):
 
 @pytest.fixture(scope="module")
 def repeated(spark):
-    """Few distinct rows, many of each, a class that no row of a vector decides; a key that clashes with no column."""
+    """Few distinct rows, many of each, and a class that the features do not decide."""
     made = spark.range(3000).selectExpr(
         "id", "cast(id % 5 as double) x", "cast(id % 3 as double) z", "case when hash(id) % 7 = 0 then 'odd' when id % 5 < 2 then 'low' else 'high' end y"
     )

@@ -47,6 +47,19 @@ def test_a_shared_passage_makes_no_pairs(spark):
     assert [pairs(200), pairs(400)] == [1, 1]
 
 
+def test_variants_of_one_text_that_are_not_similar_make_few_pairs(spark):
+    """Sets of one size with 35 of 200 tokens of a base replaced each, in some 20: 0.5 to 0.7 alike."""
+    r = random.Random(2)
+    rows = []
+    for i in range(300):
+        own = 20 if i % 10 == 5 else 35
+        rows.append((i, i, [*r.sample(range(200), 200 - own), *range(1_000 + 100 * i, 1_000 + 100 * i + own)]))
+    rows += [(300 + i, 300 + i, [*rows[i][2][:-5], *range(50_000 + 10 * i, 50_005 + 10 * i)]) for i in range(0, 300, 30)]
+    found = {frozenset((x["a"], x["b"])) for x in rare_pairs(spark.createDataFrame(rows, "node long, c long, shingles array<long>"), 75).collect()}
+    linked = {frozenset((x[0], y[0])) for x in rows for y in rows if x[0] < y[0] and brute.similar(set(x[2]), set(y[2]))}
+    assert len(linked) == 10 and linked <= found and len(found) < 2 * len(rows)
+
+
 def test_components_of_long_paths_and_stars(spark):
     r = random.Random(1)
     order = list(range(150))

@@ -124,3 +124,28 @@ def test_depths_that_stop_growing_share_a_fit(repeated, family):
     scores = models.cv_scores(repeated, counted, [9, 10, 11, 12], folds=3).collect()
     assert sorted(asked) == [9] * 3 + [12] * 3 and len({r["mean_accuracy"] for r in scores}) == 1
     assert models.cv_scores(repeated, family, [10], folds=3).first()["mean_accuracy"] == scores[1]["mean_accuracy"]
+
+
+def test_counted_cells_stand_for_the_rows(repeated):
+    """What is fitted, scaled and weighted comes from counts of equal rows, made in one pass."""
+    assert repeated.cells.agg(F.sum("_copies")).first()[0] == 3000 and repeated.cells.count() < 100
+    made = models._groups(repeated, repeated.cells.where("_split = 'train'"), "weight").collect()
+    want = models.grouped(repeated.train, "weight").collect()
+    key = lambda r: (r["label_index"], str(r["features"]))
+    assert [(key(r), r["weight"], r["_copies"]) for r in sorted(made, key=key)] == [(key(r), r["weight"], r["_copies"]) for r in sorted(want, key=key)]
+    scales = features.standardize(repeated.rows, ["x", "z"], fit_on=repeated.rows.where("_split = 'train'"))
+    one = scales.orderBy("id").first(), repeated.encode(repeated.rows).orderBy("id").first()
+    assert list(one[1]["features"]) == pytest.approx([one[0]["x"], one[0]["z"]])
+
+
+def test_forest_draws_rows_of_groups(repeated, monkeypatch):
+    monkeypatch.setattr(models, "DRAWN_ROWS", 1_000)
+    groups = models._to_fit(repeated, models.forest())
+    assert groups.count() < 50 and not models._repeat(models.grouped(repeated.train).withColumn("_copies", F.lit(1)))
+    drawn = models._drawn(groups, 400, 7).selectExpr("_copies", "aggregate(_drawn, 0L, (s, x) -> s + x) / 400 as mean", "array_distinct(_drawn) as d").collect()
+    assert all(abs(r["mean"] - r["_copies"]) < 5 * (r["_copies"] / 400) ** 0.5 for r in drawn) and max(len(r["d"]) for r in drawn) > 20
+    model = models.fit_depth(repeated, models.forest(num_trees=6), 4)
+    assert isinstance(model, models.DrawnForest) and len(model.models) == 6
+    plain = models.forest(num_trees=6).fit(repeated.train, 4, 3)
+    shares = [m.transform(repeated.test).withColumn("right", (F.col("prediction") == F.col("label_index")).cast("int")).agg(F.avg("right")).first()[0] for m in (model, plain)]
+    assert shares[0] == pytest.approx(shares[1], abs=0.1)

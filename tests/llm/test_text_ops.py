@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import oracle
-from staylens.llm import queries
+from staylens.llm import line_dedup, queries
 from staylens.llm.components import components
 from staylens.llm.decontaminate import decontaminate
 from staylens.llm.exact_dedup import exact_dedup
@@ -192,3 +192,31 @@ def test_native_plans_have_no_python(spark, docs):
     for made in (exact_dedup(docs), decontaminate(docs, items), dedup_lines(docs)):
         plan = made._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_signatures_of_long_and_repetitive_lines_are_the_least_hashes(spark):
+    """Values are collected below a bound; lines that repeat themselves have few below it, or none."""
+    lines = ["ab" * 400, "=" * 900, "äö😀" * 300, "".join(words(41, 400)), "é😀" + " ".join(words(42, 300)), "x" * 16, "short line of some 30 letters", "abc" * 30]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(lines)] + [(50, "\n".join(lines)), (51, None)], "doc_id long, text string")
+    source = line_dedup._source(made, "doc_id", "text")
+    known, rest = line_dedup._signatures(source, None)
+    found = known.where("not short").select("h1", "h2", "least").unionByName(rest)
+    every = line_dedup._hashed(line_dedup._texts(line_dedup._lines(source))).groupBy("h1", "h2").agg(F.collect_set("h").alias("all"))
+    both = found.join(every, ["h1", "h2"]).collect()
+    assert len(both) == found.count() == len(lines) and not rest.isEmpty()
+    assert all(r["least"] == sorted(r["all"])[:16] for r in both)
+    sizes = sorted(len({t[k:k + 16] for k in range(len(t) - 15)}) for t in lines)
+    assert sorted(len(r["all"]) for r in both) == sizes
+    assert {r["n"] for r in known.collect()} == {2}
+
+
+def test_lines_that_share_one_passage_are_not_verified(spark):
+    """Lines with a common passage meet in buckets; their signatures say that they are not similar."""
+    passage = "".join(words(51, 12))[:40]
+    rows = [(i, passage + "".join(words(600 + i, 60))) for i in range(60)] + [(90, passage + "".join(words(600, 60)) + "z")]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    known, rest = line_dedup._signatures(line_dedup._source(made, "doc_id", "text"), None)
+    meets, _ = line_dedup._meetings(known, rest, 75, None)
+    assert meets.select("node").distinct().count() < 10
+    found = {r["doc_id"]: r["text"] for r in dedup_lines(made).collect()}
+    assert found == {**dict(rows), 90: ""}

@@ -1290,9 +1290,8 @@ def dt_depth_sweep(spark: SparkSession, d: str) -> DataFrame:
       1.0::double as mean_accuracy from (select unnest({list(models.FOREST_GRID)}) as depth)""",
 )
 def rf_grid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Trees cut: 10 of 100, since 11 depths of 5 folds of 100 trees take many minutes on one machine."""
     data = _model_data(spark, d)
-    scores = models.grid_search(data, models.forest(num_trees=10), models.FOREST_GRID, parallelism=_FITS).scores
+    scores = models.grid_search(data, models.forest(), models.FOREST_GRID, parallelism=_FITS).scores
     return scores.drop("seconds")
 
 

@@ -312,7 +312,7 @@ def boosted(
         def one_class(c: int) -> GBTClassificationModel:
             estimator = GBTClassifier(
                 featuresCol=FEATURES, labelCol="_is_class", maxDepth=depth, maxIter=rounds,
-                stepSize=step, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024,
+                stepSize=step, seed=seed, maxMemoryInMB=1024,
                 maxBins=max_bins, minInstancesPerNode=min_instances,
             )
             return _weighted(estimator, False, rows).fit(rows.withColumn("_is_class", (F.col(LABEL) == c).cast("double")))
@@ -357,22 +357,23 @@ def _accuracy(model, groups: DataFrame) -> float:
     return accuracy(model.transform(groups), LABEL, PREDICTION, COPIES).first()["accuracy"]
 
 
-def _trees(model, depth: int) -> str | None:
-    """A digest of the trees of a model; None where one is as deep as allowed, or they are too many."""
+def _trees(model, depth: int) -> tuple[int, str] | None:
+    """How deep the trees of a model are, and their digest; None where one is as deep as allowed, or they are too many."""
     parts = model.models if isinstance(model, (OneVsRestTrees, DrawnForest)) else [model]
     depths = [t.depth for part in parts for t in (part.trees if hasattr(part, "trees") else [part])]
     nodes = sum(part.totalNumNodes if hasattr(part, "trees") else part.numNodes for part in parts)
     if max(depths) >= depth or nodes > MAX_COMPARED:
         return None
     text = "".join(part.toDebugString.split("\n", 1)[1] for part in parts)  # the first line has the name of the fit
-    return hashlib.sha256(text.encode()).hexdigest()
+    return max(depths), hashlib.sha256(text.encode()).hexdigest()
 
 
 def _fit_apart(depths: Sequence[int], fit: Callable[[list[int]], dict[int, tuple]]) -> dict[int, tuple]:
     """What ``fit`` finds per depth, with no fit between two depths that gave the same trees.
 
-    Such trees have stopped growing by themselves: each depth between gives them too. The last
-    item of a result is the digest of its trees.
+    Such trees have stopped growing by themselves: each depth between gives them too, and so does each
+    limit below that none of them reaches. The last item of a result tells how deep its trees are
+    and has their digest.
     """
     order = sorted(depths)
     found = fit(list(dict.fromkeys([*order[:1], *order[-1:]])))
@@ -381,6 +382,9 @@ def _fit_apart(depths: Sequence[int], fit: Callable[[list[int]], dict[int, tuple
         middles, narrower = [], []
         for low, high in spans:
             first, last = found[order[low]], found[order[high]]
+            while last[-1] is not None and high - low > 1 and order[high - 1] > last[-1][0]:
+                high -= 1
+                found[order[high]] = last
             if high - low > 1 and first[-1] is not None and first[-1] == last[-1]:
                 found.update({depth: last for depth in order[low + 1 : high]})
             elif high - low > 1:
@@ -498,9 +502,9 @@ def cv_scores(
 
 
 def _over_folds(done: list[tuple]) -> tuple:
-    """Mean accuracy, sum of seconds and the digests of all folds, None where one has none."""
+    """Mean accuracy, sum of seconds, and the depth and digests of all folds, None where one has none."""
     scores, seconds, trees = zip(*done)
-    return sum(scores) / len(scores), sum(seconds), None if None in trees else trees
+    return sum(scores) / len(scores), sum(seconds), None if None in trees else (max(depth for depth, _ in trees), trees)
 
 
 @dataclass(frozen=True)

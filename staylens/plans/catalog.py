@@ -1248,6 +1248,7 @@ def classification_report(spark: SparkSession, d: str) -> DataFrame:
 _RULE = """case when l_quantity > 40 or (l_returnflag = 'R' and l_quantity > 25) then 'High'
   when l_linestatus = 'F' and l_linenumber <= 2 then 'Low' else 'Medium' end"""
 _FITS = 4  # fits that run side by side
+_CLASSES = 3  # boosted models of a fit that do, one per class
 
 
 def _model_data(spark: SparkSession, d: str) -> models.ModelData:
@@ -1309,8 +1310,7 @@ def dt_grid_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gbt_depth_sweep")
 def gbt_depth_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Rounds and depths cut: 3 rounds of 100 and depths 1 and 3 of 1 to 15; no SQL form, as shallow trees err."""
-    return _swept(spark, d, models.boosted(rounds=3), [1, 3])
+    return _swept(spark, d, models.boosted(parallelism=_CLASSES), models.BOOSTED_SWEEP)
 
 
 @query("gbt_cv_scores", """select 'boosted_trees' as model, 10 as depth, 10 as fitted_depth, 1.0::double as mean_accuracy""")

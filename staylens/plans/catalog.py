@@ -1325,7 +1325,6 @@ def gbt_cv_scores(spark: SparkSession, d: str) -> DataFrame:
     select x.class as label, y.class as predicted, case when x.class = y.class then x.n else 0 end as n from n x, n y""",
 )
 def gbt_final(spark: SparkSession, d: str) -> DataFrame:
-    """Rounds cut: 3 of 100; the depth is the default of the final fit."""
     data = _model_data(spark, d)
-    model = models.fit_depth(data, models.boosted(rounds=3, parallelism=_FITS), models.BOOSTED_FINAL)
+    model = models.fit_depth(data, models.boosted(parallelism=_CLASSES), models.BOOSTED_FINAL)
     return evaluate.confusion_matrix(models.predict(data, model), "label", "predicted")

@@ -37,6 +37,10 @@ def test_gbt_depth_sweep(asked):
     assert asked == {"size": 100, "depths": list(range(1, 16))}
 
 
+def test_gbt_final(asked):
+    catalog.gbt_final(None, "")
+    assert asked == {"size": 100, "depths": [10]}
+
 
 
 def test_a_limit_that_no_tree_reaches_needs_no_fit():

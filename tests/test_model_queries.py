@@ -42,6 +42,11 @@ def test_gbt_final(asked):
     assert asked == {"size": 100, "depths": [10]}
 
 
+def test_gbt_cv_scores(asked):
+    catalog.gbt_cv_scores(None, "")
+    assert asked == {"size": 100, "depths": list(range(1, 16))}
+    assert f"unnest({list(range(1, 16))})" in catalog.ORACLES["gbt_cv_scores"]
+
 
 def test_a_limit_that_no_tree_reaches_needs_no_fit():
     fitted = []

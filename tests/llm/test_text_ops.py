@@ -220,3 +220,18 @@ def test_lines_that_share_one_passage_are_not_verified(spark):
     assert meets.select("node").distinct().count() < 10
     found = {r["doc_id"]: r["text"] for r in dedup_lines(made).collect()}
     assert found == {**dict(rows), 90: ""}
+
+
+def test_lines_are_verified_from_their_texts(spark):
+    """The shingles of a line are hashed behind the joins: what travels and is stored is the line."""
+    lines = ["ab" * 60, "=" * 90, "äö😀" * 30, "x" * 16, "é😀" + " ".join(words(42, 30)), " ".join(words(42, 30))]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "node long, normal string")
+    wide = texts.select("node", F.encode("normal", "UTF-32").alias("wide"))
+    sets = {r["node"]: r["s"] for r in wide.select("node", line_dedup._shingles(F.col("wide")).alias("s")).collect()}
+    want = {r["node"]: r["s"] for r in line_dedup._hashed(texts).groupBy("node").agg(F.collect_set("h").alias("s")).collect()}
+    assert {i: sorted(s) for i, s in sets.items()} == {i: sorted(s) for i, s in want.items()}
+    pairs = spark.createDataFrame([(a, b) for a in range(6) for b in range(a)], "a long, b long")
+    links = line_dedup._verified(pairs, texts, 75, 3)
+    assert [tuple(r) for r in links.collect()] == [(5, 4)]
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("array_intersect") < plan.index("xxhash64") < plan.index("Join") and "collect_set" not in plan
